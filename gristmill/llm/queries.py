@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.sharding import shard_rows
 
@@ -21,6 +28,13 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.line_dedup import dedup_lines
 
@@ -36,6 +50,17 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS at FROM w WHERE len(ws) >= 20),
+firsts AS (SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(ws[at:at + 19], ' ') ORDER BY doc_id, at) AS nth FROM windows),
+words AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS pos FROM firsts WHERE nth > 1),
+judged AS (SELECT k.doc_id, k.pos, k.ws[k.pos] AS word, g.pos IS NOT NULL AS gone FROM words k LEFT JOIN gone g USING (doc_id, pos)),
+sums AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(s.n, 0)::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN sums s USING (doc_id)
+"""
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
@@ -53,9 +78,10 @@ WITH RECURSIVE crc(i, c, k) AS (
   SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) t(i) UNION ALL
   SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
 crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+coded AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS pairs FROM documents),
 sums AS (
-  SELECT doc_id, coalesce(text, '') AS text, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(coalesce(text, '')))), lambda b: ('0x' || substr(hex(encode(coalesce(text, ''))), (2 * b + 1)::BIGINT, 2))::BIGINT)),
-    lambda c, b: xor(t[(xor(c & 255, b) + 1)::BIGINT], c >> 8)) AS c FROM documents, crc_table),
+  SELECT doc_id, text, list_reduce(list_prepend(4294967295::BIGINT, list_transform(pairs, lambda b: ('0x' || b)::BIGINT)),
+    lambda c, b: xor(t[(xor(c & 255, b) + 1)::BIGINT], c >> 8)) AS c FROM coded, crc_table),
 k0 AS (SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size, xor(c, 4294967295)::BIGINT AS text_crc32, doc_id::UHUGEINT AS x FROM sums),
 k1 AS (SELECT *, xor(x, x >> 30) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS y FROM k0),
 k2 AS (SELECT *, xor(y, y >> 27) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM k1),
@@ -72,8 +98,8 @@ FROM mixed m JOIN placed p ON p.doc_id = m.doc_id AND p.shards = 16 JOIN placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_jump_sharding, op6_line_dedup, op9_bpe_prefix_dp)}
+    return {f.__name__: f for f in (op2_countmin_substring_dedup, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op9_bpe_prefix_dp)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jump_sharding": SHARDING_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_countmin_substring_dedup": SUBSTRING_SQL, "op4_jump_sharding": SHARDING_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
