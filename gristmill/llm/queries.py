@@ -19,6 +19,12 @@ def op2_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("posterior")
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.sharding import shard_rows
 
@@ -52,10 +58,10 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUBSTRING_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS at FROM w WHERE len(ws) >= 20),
-firsts AS (SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(ws[at:at + 19], ' ') ORDER BY doc_id, at) AS nth FROM windows),
+windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS "at" FROM w WHERE len(ws) >= 20),
+firsts AS (SELECT doc_id, "at", row_number() OVER (PARTITION BY array_to_string(ws["at":"at" + 19], ' ') ORDER BY doc_id, "at") AS nth FROM windows),
 words AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS pos FROM firsts WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range("at", "at" + 20)) AS pos FROM firsts WHERE nth > 1),
 judged AS (SELECT k.doc_id, k.pos, k.ws[k.pos] AS word, g.pos IS NOT NULL AS gone FROM words k LEFT JOIN gone g USING (doc_id, pos)),
 sums AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
 SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(s.n, 0)::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN sums s USING (doc_id)
@@ -98,8 +104,10 @@ FROM mixed m JOIN placed p ON p.doc_id = m.doc_id AND p.shards = 16 JOIN placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_countmin_substring_dedup, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op9_bpe_prefix_dp)}
+    return {f.__name__: f for f in (op2_countmin_substring_dedup, op3_weak_supervision, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op9_bpe_prefix_dp)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_countmin_substring_dedup": SUBSTRING_SQL, "op4_jump_sharding": SHARDING_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
+    from gristmill.llm.quality_rules import judge_sql
+
+    return {"op3_weak_supervision": judge_sql(), "op2_countmin_substring_dedup": SUBSTRING_SQL, "op4_jump_sharding": SHARDING_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
