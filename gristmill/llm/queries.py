@@ -48,6 +48,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, train(docs), keep=["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +64,21 @@ def op9_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_three_phase_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 SUBSTRING_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS "at" FROM w WHERE len(ws) >= 20),
@@ -104,10 +127,10 @@ FROM mixed m JOIN placed p ON p.doc_id = m.doc_id AND p.shards = 16 JOIN placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_countmin_substring_dedup, op3_weak_supervision, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op9_bpe_prefix_dp)}
+    return {f.__name__: f for f in (op2_countmin_substring_dedup, op3_weak_supervision, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op8_string_kernel_language, op9_bpe_prefix_dp, op10_three_phase_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
     from gristmill.llm.quality_rules import judge_sql
 
-    return {"op3_weak_supervision": judge_sql(), "op2_countmin_substring_dedup": SUBSTRING_SQL, "op4_jump_sharding": SHARDING_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_weak_supervision": judge_sql(), "op2_countmin_substring_dedup": SUBSTRING_SQL, "op10_three_phase_top_k": TOP_K_SQL, "op4_jump_sharding": SHARDING_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
