@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.warc import derive, responses_of_pages
+
+    out = derive(responses_of_pages(table(spark, sf_dir, "pages")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("block", "record")]
+    return out.select("page_id", "kind", "record_id", "refers_to", "target_uri", "source_headers", "source_digest", "block_digest", "block_length", *digests)
+
+
 def op2_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.substring_dedup import dedup_substrings
 
@@ -48,6 +56,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.language_id import held_out, identify, train
 
@@ -127,7 +141,7 @@ FROM mixed m JOIN placed p ON p.doc_id = m.doc_id AND p.shards = 16 JOIN placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_countmin_substring_dedup, op3_weak_supervision, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op8_string_kernel_language, op9_bpe_prefix_dp, op10_three_phase_top_k)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_countmin_substring_dedup, op3_weak_supervision, op4_jump_sharding, op5_simhash_blocks, op6_line_dedup, op7_best_fit_packing, op8_string_kernel_language, op9_bpe_prefix_dp, op10_three_phase_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
