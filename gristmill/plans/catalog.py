@@ -1,15 +1,13 @@
-"""Queries by name, each with its SQL where there is one."""
+"""All queries by name, each with its SQL where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gristmill.plans import base, corpus, graphs, retrieval  # noqa: F401  (they register their queries)
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
