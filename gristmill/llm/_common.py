@@ -72,6 +72,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def others(df: DataFrame, *added: str) -> list[str]:
+    """The columns of df but those that an operator adds: an added column replaces one of its name (case aside)."""
+    names = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() to the shared folder; its files go when the result is no longer referenced."""
     shared_dir(df.sparkSession)

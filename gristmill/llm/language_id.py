@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm._common import others
+
 MAX_N, BITS = 4, 17
 #: The bounds of what is fitted on, whatever the size of the input: rows a language, languages, landmarks a language, ridge.
 ROWS_PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 400, 200, 40, 1e-3
@@ -129,7 +131,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     A text that is null, empty or has no letter is `und` with score 0, as is any where nothing could be learned.
     Ties go to the language that sorts first. Whole texts count, however long; equal texts get equal results.
     """
-    names = docs.columns if keep is None else keep
+    names = others(docs, "lang_pred", "score") if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     rows = docs.select(*(F.col(n).alias(f"k{i}") for i, n in enumerate(names)), F.col(text_col).alias("__text"))
     at_text = len(names)

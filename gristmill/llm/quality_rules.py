@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import WORD_RE, WS, materialise
+from gristmill.llm._common import WORD_RE, WS, materialise, others
 
 #: Name, condition of a vote for bad, condition of a vote for good; whole numbers only, so that SQL engines agree.
 RULES = [
@@ -102,10 +102,10 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 
     base_failed: under 10 words, or over a fifth of them in repeated windows of five. Such a document is not kept and
     has no part in the estimate. Null and empty texts have no words and fail. Documents with equal votes, repeated
-    rows among them, get equal posteriors. An empty table gives an empty one. Names of added columns must be free.
+    rows among them, get equal posteriors. An empty table gives an empty one. Added columns replace those of their names.
     """
     rows = counts(docs, text_col).withColumns({"base_failed": F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"), "__pattern": pattern()})
-    names = docs.columns if keep is None else keep
+    names = others(docs, *COUNTS, "base_failed", "posterior", "kept") if keep is None else keep
     rows = materialise(rows.select(*names, *COUNTS, "base_failed", "__pattern"))
     found = {r[0]: r[1] for r in rows.where("not base_failed").groupBy("__pattern").count().collect()}
     post, _ = estimate(found)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import LONG_MAX
+from gristmill.llm._common import LONG_MAX, others
 from gristmill.llm._words import buffers, window_hashes, word_hashes
 
 CHUNK_BYTES = 6 << 20
@@ -114,9 +114,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cell_bits = min(62, max(part_bits + 8, math.ceil(math.log2(max(2, total / 6 * CELLS)))))
     low = cell_bits - part_bits
     cell_kind = np.uint32 if low <= 32 else np.uint64
-    names = docs.columns
+    names = others(docs, "n_words", "n_removed")
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX))
-    chunked = docs.select("*", own.alias("__own"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).drop(text_col).withColumn("__chunk", F.pmod(F.xxhash64("__own"), F.lit(chunks)).cast("int"))
+    chunked = docs.select(*names, own.alias("__own"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).drop(text_col).withColumn("__chunk", F.pmod(F.xxhash64("__own"), F.lit(chunks)).cast("int"))
     by_chunk = lambda: chunked.groupBy("__chunk")
     part_schema = pa.schema([("__chunk", pa.int32()), ("part", pa.int32()), ("row", pa.int32()), ("cells", pa.binary()), ("more", pa.binary())])
 

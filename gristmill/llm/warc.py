@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm._common import others
+
 _DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|$)|<!doctype[^>]*>", re.S | re.I)
 _BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|blockquote|pre|title|hr|dd|dt|dl|aside|main|form|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
@@ -65,8 +67,12 @@ def fields_of(page: str) -> str:
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of an uncompressed WARC file, by Content-Length; a cut-off record ends it."""
     at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        head = data[at:end].lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+    while True:
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if (end := data.find(b"\r\n\r\n", at)) < 0:
+            return
+        head = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not head[0].startswith("WARC/"):
             return
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
@@ -117,9 +123,9 @@ def derive(responses: DataFrame, keep: list[str] | None = None, records: bool =
     equal responses have equal ids. A null URI or date is left out of the headers. An empty table gives an empty one.
     """
     own = ["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest"]
-    keep = [c for c in responses.columns if c not in own] if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in responses.schema}
     names = ["kind", "record_id", "refers_to", "target_uri", "source_headers", "source_digest", "block_digest", "block_length", "block", "record"]
+    keep = others(responses, *own, *names) if keep is None else keep
     types = [pa.string()] * 7 + [pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
