@@ -132,7 +132,7 @@ def sections(lines: DataFrame, page: list[str], order: str = "line_index") -> Da
     for n in range(1, 6):
         last = F.last(F.when(F.col("level") == n, F.struct(F.col("section").alias("at"), F.trim("line").alias("t"))), ignorenulls=True).over(so_far)
         marked = marked.withColumn(f"h{n}", last)
-    path = F.array_compact(F.array(*(F.when(F.greatest(F.lit(-1), *(F.coalesce(F.col(f"h{m}.at"), F.lit(-1)) for m in range(1, n))) < F.col(f"h{n}.at"), F.col(f"h{n}.t")) for n in range(1, 6))))
+    path = F.array_compact(F.array(*(F.when(F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(F.col(f"h{m}.at"), F.lit(-1)) for m in range(1, n))) < F.col(f"h{n}.at"), F.col(f"h{n}.t")) for n in range(1, 6))))
     body = F.filter(F.array_sort(F.collect_list(F.struct(order, "heading", "line"))), lambda x: ~x["heading"])
     out = marked.withColumn("path", path).groupBy(*page, "section").agg(F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("body"), F.first("path").alias("headings"))
     return out.where(F.trim("body") != "")

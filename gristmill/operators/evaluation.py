@@ -20,7 +20,7 @@ def overview_windows(pages: DataFrame, doc: str, page: str, window: int = 8, str
     numbered = pages.withColumn("rn", F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1)
     # a page is in the windows that began at most window - 1 pages before it
     begins = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("rn") - window + 1) / stride).cast("int")), F.floor(F.col("rn") / stride).cast("int"))
-    each = numbered.select(doc, page, (F.explode(begins) * stride).alias("start"))
+    each = numbered.select(doc, page, F.explode(F.transform(begins, lambda b: b * stride)).alias("start"))
     return each.groupBy(doc, "start").agg(F.array_sort(F.collect_list(page)).alias("pages")).where(F.size("pages") >= least)
 
 

@@ -130,12 +130,12 @@ def token_budget_pack(spark, sf_dir):
 
 
 @query(r"""WITH b AS (SELECT item_id, text, split_part(text, '.', 1) AS first FROM benchmark),
-v AS (SELECT item_id, unnest([text, upper(text), first, '  ' || first || ' ']) AS t, unnest([0, 1, 2, 3]) AS pos FROM b),
+v AS (SELECT item_id, unnest([text, lower(text), first, '  ' || first || ' ']) AS t, unnest([0, 1, 2, 3]) AS pos FROM b),
 k AS (SELECT item_id, pos, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM v)
 SELECT item_id, arg_min(name, pos) AS name, arg_min(text, pos) AS text FROM (SELECT *, ['original', 'multi_1', 'multi_2', 'step_back'][pos + 1] AS name FROM k WHERE text <> '') GROUP BY item_id, lower(text)""")
 def query_variant_dedup(spark, sf_dir):
     first = F.split_part("text", F.lit("."), F.lit(1))
-    bundle = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original"), F.lit(None).cast("string").alias("hyde_document"), F.array(F.upper("text"), first).alias("multi_queries"), F.lit(None).cast("array<string>").alias("sub_questions"), F.concat(F.lit("  "), first, F.lit(" ")).alias("step_back_query"))
+    bundle = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original"), F.lit(None).cast("string").alias("hyde_document"), F.array(F.lower("text"), first).alias("multi_queries"), F.lit(None).cast("array<string>").alias("sub_questions"), F.concat(F.lit("  "), first, F.lit(" ")).alias("step_back_query"))
     lexical, _ = R.variants(bundle)
     return lexical.select(F.col("query_id").alias("item_id"), "name", "text")
 
