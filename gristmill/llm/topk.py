@@ -4,26 +4,32 @@ The score of a row for a query is a sum over SLICES lists, one for each slice of
 these slices and laid out in blocks of rows; the queries come in blocks too, and one task has one slice of one block of
 rows and one block of queries.
 
-1. Each list gives its k best local scores and its lowest. With the lowest for what is missing, the k-th best partial
-   sum is a safe lower bound t of the k-th score.
+1. Each list gives its k best rows and its lowest score. The candidates' whole scores are looked up, and the k-th best
+   of them, t, is a safe lower bound of the k-th score.
 2. Each query's cutoffs go back to the lists: a row that is below lowest_j + (t - sum of lowest) / SLICES in every list
-   j cannot reach t. All other entries are collected; sums of known and cutoff values bound the scores from both
-   sides, and a better t discards candidates.
-3. The scores that are still open are resolved from the whole vectors.
+   j cannot reach t. The others are collected, as one bitmap (queries x rows) for a list and pair of blocks, so what a
+   task sends has a bound however weak the cutoffs are.
+3. The collected rows' scores are resolved from the whole vectors, and the k best of each block of rows are merged.
 
-Everything is in whole numbers, so ties are exact. What is broadcast: nothing; cutoffs travel with the query blocks.
+Everything is in whole numbers, so ties are exact. Nothing is broadcast: cutoffs travel with the query blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._common import materialise
 
-SLICES, ROW_BLOCK, QUERY_BLOCK = 2, 8192, 512
+SLICES, ROW_BLOCK, QUERY_BLOCK = 2, 8192, 2048
+#: Queries whose local scores, and pairs whose vectors, a task holds at once.
+AT_ONCE, PAIRS = 128, 50_000
 _NO = np.iinfo(np.int64).max
 
 
@@ -37,7 +43,7 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 25
 
 def _matrix(table: pa.Table) -> np.ndarray:
     column = table["v"].combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # whole numbers; products below stay exact
     return flat.reshape(table.num_rows, -1)
 
 
@@ -63,76 +69,107 @@ def _top_k(rows: DataFrame, k: int, length: int, every: int) -> DataFrame:
     count, asked = rows.count(), queries.count()
     blocks, query_blocks = max(1, -(-count // ROW_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     pieces = F.array(*(F.struct(F.lit(j).alias("slice"), F.slice("v", edges[j] + 1, edges[j + 1] - edges[j]).alias("v")) for j in range(slices)))
+    no_cuts = F.lit(None).cast("array<bigint>").alias("cutoffs")
 
     def laid_out(df: DataFrame, own: int, other: int, block: str, spread: str) -> DataFrame:
-        """Slices of each vector in its block, once for every block of the other side."""
-        df = df.withColumn(block, F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")).withColumn("piece", F.explode(pieces))
-        return df.select("id", block, "piece.slice", "piece.v", F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(spread), *(c for c in df.columns if c == "cutoffs"))
-
-    lists = laid_out(rows, blocks, query_blocks, "rb", "qb").groupBy("slice", "rb", "qb")
-    asking = laid_out(queries, query_blocks, blocks, "qb", "rb").groupBy("slice", "rb", "qb")
-
-    def local(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Partial scores (queries x rows), sorted by the rows' ids; a query's own row gets the least number."""
-        ids, qids = left["id"].to_numpy(), right["id"].to_numpy()
-        order = np.argsort(ids)
-        scores = np.rint(_matrix(right) @ _matrix(left)[order].T).astype(np.int64)  # below 2^53, so exact
-        ids = ids[order]
-        at = np.searchsorted(ids, qids)
-        own = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == qids))
-        scores[own, at[own]] = -_NO
-        return ids, qids, scores
-
-    best_kind = pa.schema([("q", pa.int64()), ("slice", pa.int32()), ("id", pa.int64()), ("s", pa.int64()), ("low", pa.int64())])
+        """Vectors in their block, once for every block of the other side."""
+        placed = df.withColumn(block, F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"))
+        return placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(spread))
+
+    def sliced(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c != "v"]
+        return df.select(*rest, F.explode(pieces).alias("piece")).select(*rest, "piece.slice", "piece.v")
+
+    whole_rows, whole_queries = laid_out(rows, blocks, query_blocks, "rb", "qb"), laid_out(queries.select("id", "v", no_cuts), query_blocks, blocks, "qb", "rb")
+    lists, asking = sliced(whole_rows).groupBy("slice", "rb", "qb"), sliced(whole_queries).groupBy("slice", "rb", "qb")
+
+    def sides(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows' ids and vectors, queries' ids and vectors, each in order of id, and the order of the queries."""
+        lo, ro = np.argsort(left["id"].to_numpy()), np.argsort(right["id"].to_numpy())
+        return left["id"].to_numpy()[lo], _matrix(left)[lo], right["id"].to_numpy()[ro], _matrix(right)[ro], ro
+
+    def local(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, asked_for: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """First query and partial scores (AT_ONCE queries x rows); a query's own row gets the least number."""
+        for at in range(0, len(qids), AT_ONCE):
+            q = qids[at : at + AT_ONCE]
+            scores = np.rint(asked_for[at : at + AT_ONCE] @ vectors.T).astype(np.int64)  # below 2^53, so exact
+            place = np.minimum(np.searchsorted(ids, q), len(ids) - 1)
+            own = np.flatnonzero(ids[place] == q)
+            scores[own, place[own]] = -_NO
+            yield at, scores
+
+    mark_kind = pa.schema([("rb", pa.int32()), ("qb", pa.int32()), ("slice", pa.int32()), ("marks", pa.binary()), ("q", pa.binary()), ("low", pa.binary())])
+    mark_ddl = "rb int, qb int, slice int, marks binary, q binary, low binary"
+
+    def marked(left: pa.Table, right: pa.Table, choose) -> pa.Table:
+        """One row: the bitmap of what choose() takes of the partial scores, and the queries' lowest scores."""
+        if not left.num_rows or not right.num_rows:
+            return mark_kind.empty_table()
+        ids, vectors, qids, asked_for, order = sides(left, right)
+        marks, lows = [], []
+        for at, scores in local(ids, vectors, qids, asked_for):
+            marks.append(np.packbits(choose(at, scores, order), axis=1))
+            lows.append(np.where(scores == -_NO, _NO, scores).min(axis=1))
+        key = [left[c][0].as_py() for c in ("rb", "qb", "slice")]
+        packed = zstandard.ZstdCompressor(level=1).compress(np.concatenate(marks).tobytes())
+        return pa.Table.from_pylist([dict(zip(mark_kind.names, [*key, packed, qids.tobytes(), np.concatenate(lows).tobytes()], strict=True))], schema=mark_kind)
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return best_kind.empty_table()
-        ids, qids, scores = local(left, right)
-        low = np.where(scores == -_NO, _NO, scores).min(axis=1)
-        m = min(k, scores.shape[1])
-        at = np.argpartition(-scores, m - 1, axis=1)[:, :m]
-        s = np.take_along_axis(scores, at, axis=1)
-        q, low, at, s = np.repeat(qids, m), np.repeat(low, m), at.ravel(), s.ravel()
-        keep = s > -_NO
-        n = int(keep.sum())
-        return pa.Table.from_arrays([pa.array(q[keep]), pa.array(np.full(n, left["slice"][0].as_py(), np.int32)), pa.array(ids[at[keep]]), pa.array(s[keep]), pa.array(low[keep])], schema=best_kind)
-
-    first = lists.cogroup(asking).applyInArrow(best, "q bigint, slice int, id bigint, s bigint, low bigint")
-    first = materialise(first)
-    lows = first.groupBy("q", "slice").agg(F.min("low").alias("low")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("slice", "low"))).alias("lows"))
-    top = first.withColumn("n", F.row_number().over(Window.partitionBy("q", "slice").orderBy(F.desc("s"), "id"))).where(F.col("n") <= k)
-    total_low = F.aggregate(F.map_values("lows"), F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = top.join(lows, "q").groupBy("q", "id", "lows").agg(F.sum(F.col("s") - F.element_at("lows", F.col("slice"))).alias("over"))
-    nth = sums.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("over"), "id"))).where(F.col("n") == k)
-    # integers: a row reaches t only if some list has low_j + ceil((t - sum of lows) / slices) or more
-    cut = F.ceil(F.col("over") / slices).cast("long")
-    cutoffs = nth.select("q", "lows", F.array(*(F.element_at("lows", F.lit(j)) + cut for j in range(slices))).alias("cutoffs"), (F.col("over") + total_low).alias("t"))
-    cutoffs = materialise(cutoffs)  # queries of fewer than k partial sums have none: all their rows are collected
-    with_cutoffs = queries.join(cutoffs.withColumnRenamed("q", "id").select("id", "cutoffs"), "id", "left")
-    asking2 = laid_out(with_cutoffs, query_blocks, blocks, "qb", "rb").groupBy("slice", "rb", "qb")
-    entry_kind = pa.schema([("q", pa.int64()), ("slice", pa.int32()), ("id", pa.int64()), ("s", pa.int64())])
-
-    def entries(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return entry_kind.empty_table()
-        ids, qids, scores = local(left, right)
-        j = left["slice"][0].as_py()
-        least = np.array([c[j] if c else -_NO + 1 for c in right["cutoffs"].to_pylist()], np.int64)
-        q, r = np.nonzero(scores >= least[:, None])
-        return pa.Table.from_arrays([pa.array(qids[q]), pa.array(np.full(len(q), j, np.int32)), pa.array(ids[r]), pa.array(scores[q, r])], schema=entry_kind)
-
-    collected = lists.cogroup(asking2).applyInArrow(entries, "q bigint, slice int, id bigint, s bigint")
-    known = collected.groupBy("q", "id").agg(F.sum("s").alias("s"), F.sum(F.expr("shiftleft(1, slice)")).alias("known"))
-    known = known.join(cutoffs, "q", "left")
-    missing = lambda of: sum((F.when(F.expr(f"known & {1 << j}") == 0, F.element_at(of, F.lit(j + 1)) if of == "cutoffs" else F.element_at(of, F.lit(j))).otherwise(0) for j in range(slices)), F.lit(0))
-    bounded = materialise(known.select("q", "id", "s", "known", F.when(F.col("lows").isNull(), F.col("s")).otherwise(F.col("s") + missing("lows")).alias("least"), F.when(F.col("cutoffs").isNull(), F.lit(_NO)).otherwise(F.col("s") + missing("cutoffs")).alias("most")))
-    better = bounded.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("least"), "id"))).where(F.col("n") == k).select("q", F.col("least").alias("t"))
-    left_over = bounded.join(better, "q", "left").where(F.col("t").isNull() | (F.col("most") >= F.col("t")))
-    whole = (1 << slices) - 1
-    resolved = left_over.where(F.col("known") == whole).select("q", "id", F.col("s").alias("score"))
-    unknown = left_over.where(F.col("known") != whole).select("q", "id").join(rows, "id").join(queries.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = resolved.unionByName(unknown.select("q", "id", dot.alias("score")))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+        def choose(at: int, scores: np.ndarray, order: np.ndarray) -> np.ndarray:
+            out = np.zeros(scores.shape, bool)
+            m = min(k, scores.shape[1])
+            np.put_along_axis(out, np.argpartition(-scores, m - 1, axis=1)[:, :m], True, axis=1)
+            return out & (scores > -_NO)
+
+        return marked(left, right, choose)
+
+    def sufficient(left: pa.Table, right: pa.Table) -> pa.Table:
+        cuts, j = right["cutoffs"].to_pylist(), left["slice"][0].as_py() if left.num_rows else 0
+        least = np.array([c[j] if c else -_NO + 1 for c in cuts], np.int64)
+        return marked(left, right, lambda at, scores, order: scores >= least[order][at : at + AT_ONCE, None])
+
+    score_kind = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+
+    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Whole scores of marked rows, the k best of the block for each query. right: query vectors, and bitmaps with a null id."""
+        marks = right.filter(pc.is_null(right["id"]))["marks"].to_pylist()
+        right = right.filter(pc.is_valid(right["id"]))
+        if not left.num_rows or not right.num_rows or not marks:
+            return score_kind.empty_table()
+        ids, vectors, qids, asked_for, _ = sides(left, right)
+        d = zstandard.ZstdDecompressor()
+        bits = np.bitwise_or.reduce([np.frombuffer(d.decompress(m), np.uint8).reshape(len(qids), -1) for m in marks])
+        out = []
+        for at in range(0, len(qids), AT_ONCE):
+            q, r = np.nonzero(np.unpackbits(bits[at : at + AT_ONCE], axis=1, count=len(ids)))
+            q += at
+            score = np.concatenate([np.zeros(0, np.int64), *(np.rint(np.einsum("ij,ij->i", asked_for[q[i : i + PAIRS]], vectors[r[i : i + PAIRS]])).astype(np.int64) for i in range(0, len(q), PAIRS))])
+            order = np.lexsort((r, -score, q))
+            q, r, score = q[order], r[order], score[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            out.append((qids[q[nth < k]], ids[r[nth < k]], score[nth < k]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=score_kind)
+
+    def resolved(marks: DataFrame) -> DataFrame:
+        """(q, id, score, rank): the k best of the marked rows of each query."""
+        sent = whole_queries.select("rb", "qb", "id", "v", F.lit(None).cast("binary").alias("marks")).unionByName(marks.select("rb", "qb", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<bigint>").alias("v"), "marks"))
+        scored = whole_rows.groupBy("rb", "qb").cogroup(sent.groupBy("rb", "qb")).applyInArrow(resolve, "q bigint, id bigint, score bigint")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def low_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, q, low in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                q, low = np.frombuffer(q, np.int64), np.frombuffer(low, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), j, np.int32)), pa.array(low)], ["q", "slice", "low"])
+
+    first = materialise(lists.cogroup(asking).applyInArrow(best, mark_ddl))
+    each = first.select("slice", "q", "low").mapInArrow(low_rows, "q bigint, slice int, low bigint").groupBy("q", "slice").agg(F.min("low").alias("low"))
+    lows = each.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "low"))), lambda x: x["low"]).alias("lows"))
+    bound = resolved(first).where(F.col("rank") == k).select("q", F.col("score").alias("t"))
+    # a row reaches t only if some list has low_j + ceil((t - sum of lows) / slices) or more; no t (fewer than k rows): all are collected
+    share = F.ceil((F.col("t") - F.aggregate("lows", F.lit(0).cast("long"), lambda a, x: a + x)) / slices).cast("long")
+    cutoffs = lows.join(bound, "q").select(F.col("q").alias("id"), F.transform("lows", lambda x: x + share).alias("cutoffs"))
+    with_cuts = materialise(queries.join(cutoffs, "id", "left"))
+    collected = lists.cogroup(sliced(laid_out(with_cuts, query_blocks, blocks, "qb", "rb")).groupBy("slice", "rb", "qb")).applyInArrow(sufficient, mark_ddl)
+    return resolved(collected).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
