@@ -44,12 +44,13 @@ def literal(x: str) -> str:
 
 
 def replace_symbols(text: Column, table: list[tuple[str, str]]) -> Column:
+    """One search decides whether a text has any of the symbols; only then they are replaced, one after another."""
     one = [(c, to) for to, chars in table for c in chars]
-    text = F.translate(text, "".join(c for c, to in one if len(to) == 1), "".join(to for _, to in one if len(to) == 1))
+    done = F.translate(text, "".join(c for c, to in one if len(to) == 1), "".join(to for _, to in one if len(to) == 1))
     for to, chars in table:
         if len(to) != 1:
-            text = F.regexp_replace(text, f"[{literal(chars)}]", to)
-    return text
+            done = F.regexp_replace(done, f"[{literal(chars)}]", to)
+    return F.when(text.rlike(f"[{literal(''.join(c for c, _ in one))}]"), done).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -131,13 +132,19 @@ def repair_mojibake(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Index terms: numbers and runs of letters, folded, and the accented form too where it differs. One-letter terms and stopwords are left out."""
-    # loose marks go first; then folding keeps every character's place, and both forms split alike
-    plain = F.regexp_replace(normalize_index(text), _MARKS, "")
     extract = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
-    pairs = F.arrays_zip(extract(plain).alias("w"), extract(F.translate(plain, ACCENTED + "đ", BASES + "d")).alias("f"))
-    pairs = F.transform(pairs, lambda p: F.struct(p["w"].alias("w"), p["f"].alias("f")))
-    kept = F.filter(pairs, lambda p: ((F.char_length(p["f"]) > 1) | p["f"].rlike("^[0-9]+$")) & ~p["f"].isin(*STOPWORDS))
-    return F.flatten(F.transform(kept, lambda p: F.when(p["w"] == p["f"], F.array(p["f"])).otherwise(F.array(p["f"], p["w"]))))
+    keep = lambda f: ((F.char_length(f) > 1) | f.rlike("^[0-9]+$")) & ~f.isin(*STOPWORDS)
+
+    def folded(plain: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(extract(plain).alias("w"), extract(F.translate(plain, ACCENTED + "đ", BASES + "d")).alias("f")), lambda p: keep(p["f"]))
+        return F.flatten(F.transform(pairs, lambda p: F.when(p["w"] == p["f"], F.array(p["f"])).otherwise(F.array(p["f"], p["w"]))))
+
+    def of(normal: Column) -> Column:
+        # loose marks go first; then folding keeps every character's place, and both forms split alike
+        return F.when(normal.rlike(r"[^\x00-\x7F]"), folded(F.regexp_replace(normal, _MARKS, ""))).otherwise(F.filter(extract(normal), keep))
+
+    # transform() over one element binds the normalised text, so it is worked out once
+    return F.transform(F.array(normalize_index(text)), of)[0]
 
 
 def count_words(text: Column) -> Column:

@@ -17,8 +17,8 @@ VISUAL_TERMS = "anh|bieu do|chart|diagram|figure|hinh|image|minh hoa|so do|visua
 
 def exploded(nodes: DataFrame, terms: Column, id_col: str) -> DataFrame:
     """(id, dl, token). An outer explode: for an inner one the optimizer would infer a filter on the size of the array, and work the terms out twice."""
-    listed = nodes.select(id_col, terms.alias("__terms"))
-    return listed.select(id_col, F.size("__terms").cast("long").alias("dl"), F.explode_outer("__terms").alias("token")).where("token is not null")
+    listed = nodes.select(id_col, terms.alias("__terms")).select(id_col, F.size("__terms").cast("long").alias("dl"), "__terms")
+    return listed.select(id_col, "dl", F.explode_outer("__terms").alias("token")).where("token is not null")
 
 
 def postings(nodes: DataFrame, terms: Column, id_col: str = "node_id") -> DataFrame:
