@@ -70,20 +70,24 @@ class Model:
 def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     """From (language, numbers of the n-grams) of a bounded sample; languages and rows in a fixed order."""
     languages = sorted({r[0] for r in rows})
-    presence = np.zeros((len(rows), 1 << BITS), bool)
-    for i, (_, numbers) in enumerate(rows):
-        presence[i, numbers] = True
     target = np.array([languages.index(r[0]) for r in rows])
     chosen = np.concatenate([np.flatnonzero(target == k)[:LANDMARKS] for k in range(len(languages))]).astype(int)
-    marks = presence[chosen]
-    columns = np.flatnonzero(marks.any(axis=0))
-    marks = marks[:, columns].astype(np.float32)
+
+    def presence(at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 1 << BITS), bool)
+        for i, j in enumerate(at.tolist()):
+            out[i, rows[j][1]] = True
+        return out
+
+    columns = np.unique(np.concatenate([rows[j][1] for j in chosen.tolist()])).astype(np.int64)
+    marks = np.concatenate([presence(part)[:, columns].astype(np.float32) for part in np.array_split(chosen, -(-len(chosen) // 64))])
     marks /= np.sqrt(np.maximum(1, marks.sum(axis=1)))[:, None]
     w = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(w)
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])  # K(x, L) @ root is the Nystroem feature
     half = Model(languages, columns, marks, np.zeros(0))
-    features = np.hstack([half.kernel(presence).astype(np.float64) @ root, np.ones((len(rows), 1))])
+    parts = np.array_split(np.arange(len(rows)), -(-len(rows) // 64))  # a few rows at once: the driver's memory stays small
+    features = np.hstack([np.concatenate([half.kernel(presence(part)) for part in parts]).astype(np.float64) @ root, np.ones((len(rows), 1))])
     wanted = (target[:, None] == np.arange(len(languages))).astype(np.float64)
     # languages of few rows weigh as much as those of many
     weight = (1 / np.bincount(target, minlength=len(languages)))[target][:, None] * len(rows) / len(languages)
