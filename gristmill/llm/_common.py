@@ -49,14 +49,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Removes the folder behind a materialised table that no later plan reads."""
-    spark, names = df.sparkSession, {p.rsplit("/", 1)[0] for p in df.inputFiles()}
-    for path in [p for p in _scratch if any(n.rstrip("/").endswith(p.rsplit("/", 1)[1]) for n in names)]:
-        _delete(spark, path)
-        _scratch.remove(path)
-
-
 def release(spark: SparkSession) -> None:
     """Removes every scratch table. Call it when no result that reads them is needed any more."""
     try:

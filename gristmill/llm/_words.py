@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
         begin = starts[at]
         to = int(np.searchsorted(ends, begin + PART, side="right"))
         if to <= at:
-            out[at] = int.from_bytes(__import__("hashlib").blake2b(data[begin : ends[at]].tobytes(), digest_size=8).digest(), "little")
+            out[at] = int.from_bytes(hashlib.blake2b(data[begin : ends[at]].tobytes(), digest_size=8).digest(), "little")
             at += 1
             continue
         part = data[begin : ends[to - 1]]

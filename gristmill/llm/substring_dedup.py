@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm._common import LONG_MAX, others
-from gristmill.llm._words import buffers, window_hashes, word_hashes
+from gristmill.llm._words import buffers, window_hashes, word_bounds, word_hashes
 
 CHUNK_BYTES = 6 << 20
 #: Sketch: rows, and cells of a row for each word of the input.
@@ -87,8 +87,6 @@ class Chunk:
             whole = b"\n".join(self.texts)
             begins = np.cumsum([0, *(len(t) + 1 for t in self.texts)])
             data = np.frombuffer(whole, np.uint8)
-            from gristmill.llm._words import word_bounds
-
             self.hashes = word_hashes(data)
             self.first = np.searchsorted(word_bounds(data)[0], begins)  # of each document's words, and the number of all
         else:

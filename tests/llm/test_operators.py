@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -248,7 +247,7 @@ def test_language_training_leaves_held_out_rows_alone(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     swapped = rows.withColumn("text", F.when(language_id.held_out(), "zzz").otherwise(F.col("text")))
     a, b = language_id.train(rows), language_id.train(swapped)
-    assert np.array_equal(a.weights, b.weights) and zlib.crc32(b"0") % 4 is not None
+    assert np.array_equal(a.weights, b.weights)
 
 
 def test_packing(docs, empty):
