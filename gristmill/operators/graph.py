@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import canonical_name, snippet, squeeze, stable_id
+from gristmill.operators.lineage import cut
 
 ENTITY_TYPES = ("ANATOMY", "DISEASE", "DRUG", "OTHER", "PROCEDURE", "SYMPTOM", "TEST")
 
@@ -76,28 +76,24 @@ def weighted_degree(relations: DataFrame) -> DataFrame:
     return ends.groupBy("key").agg(F.sum("w").alias("degree"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, every: int = 3) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, component): the smallest key of the connected component, isolated vertices included.
 
     Labels flow along the edges and then jump to their label's label, so rounds grow with the logarithm of a chain.
-    Lineage is cut by checkpoint() where the cluster names a folder, else every round is persisted.
+    Every round cuts its lineage.
     """
-    spark = vertices.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").distinct()
+    both = cut(both)
     labels = vertices.select("key", F.col("key").alias("component"))
-    turn = 0
     while True:
         near = both.join(labels, both.b == labels.key).groupBy("a").agg(F.min("component").alias("m"))
         stepped = labels.join(near, labels.key == near.a, "left").select("key", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = stepped.select(F.col("key").alias("component"), F.col("component").alias("further"))
         new = stepped.join(jump, "component", "left").select("key", F.coalesce("further", "component").alias("component"))
-        turn += 1
-        new = new.checkpoint() if shared and turn % every == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
+        new = cut(new)
         changed = new.join(labels.withColumnRenamed("component", "before"), "key").where("component <> before").limit(1).count()
         labels = new
         if not changed:
-            both.unpersist()
             return labels
 
 
@@ -153,14 +149,14 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0)
     found = components(vertices, edges)
     held = edges.join(found.withColumnRenamed("key", "source"), "source").select("component", "source", "target", F.col("weight").cast("double").alias("weight"))
 
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(frame["source"], frame["target"], frame["weight"], strict=True))
         nodes = {n for a, b, _ in rows for n in (a, b)}
         of = dict.fromkeys(nodes, min(nodes)) if len(nodes) < 3 else louvain(rows, resolution)
         return pd.DataFrame({"key": sorted(of), "community": [of[n] for n in sorted(of)]})
 
     kind = vertices.schema["key"].dataType.simpleString()
-    inner = held.groupBy("component").applyInPandas(cut, f"key {kind}, community {kind}")
+    inner = held.groupBy("component").applyInPandas(split, f"key {kind}, community {kind}")
     return found.join(inner, "key", "left").select("key", "component", F.coalesce("community", "key").alias("community"))
 
 

@@ -65,22 +65,20 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0e0), lambda s, x: s + x)
 
 
-#: Question vectors are broadcast up to this many rows; beyond it they are cut into parts of that size.
+#: Question vectors are broadcast up to this many rows; beyond it they are cut by a hash into parts of about that size.
 QUESTION_BLOCK = 2000
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "node_id") -> DataFrame:
     """The k nodes of greatest inner product for each question: exact search of a stated query set, in blocks of questions.
 
-    questions: query_id, q. A block has at most QUESTION_BLOCK vectors (the broadcast's bound); each block is one pass.
+    questions: query_id, q. A block has about QUESTION_BLOCK vectors (the broadcast's bound); each block is one pass.
     """
     n = questions.count()
     blocks = max(1, -(-n // QUESTION_BLOCK))
-    if blocks > 1:
-        numbered = questions.withColumn("__block", F.ntile(blocks).over(Window.orderBy("query_id")))
     found = None
-    for i in range(1, blocks + 1):
-        part = questions if blocks == 1 else numbered.where(F.col("__block") == i).drop("__block")
+    for i in range(blocks):
+        part = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         scored = vectors.join(F.broadcast(part), F.col(id_col).isNotNull()).select("query_id", id_col, dot("v", "q").alias("score"))
         best = ranked(scored, k, ["query_id"], id_col=id_col)
         found = best if found is None else found.unionByName(best)

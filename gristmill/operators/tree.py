@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import estimate_tokens
+from gristmill.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -142,9 +143,8 @@ def build_tree(leaves: DataFrame, options: TreeOptions | None = None) -> DataFra
         members = level.select("node_id", F.lit(0).alias("cluster")) if forced else cluster_level(level, options)
         up = roll_up(members, level).join(mean_vectors(members, level), "cluster")
         key = F.concat(F.lit("node_"), F.substring(F.sha1(F.concat_ws("|", F.lit(str(depth)), F.col("cluster").cast("string"), F.array_join("child_node_ids", ","))), 1, 16))
-        shared = leaves.sparkSession.conf.get("spark.checkpoint.dir", None)
         up = up.select(key.alias("node_id"), "text", "v", estimate_tokens(F.col("text")).alias("tokens"), "child_node_ids")
-        up = up.checkpoint() if shared else up.persist()
+        up = cut(up)
         every = every.unionByName(up.withColumns({"depth": F.lit(depth), "is_leaf": F.lit(False)}))
         level = up.drop("child_node_ids")
         if forced:
