@@ -19,6 +19,8 @@ KEYWORDS = [(k, bucket) for bucket, words in BUCKETS.items() for k in words.spli
 ROMAN = "M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
 NUMBERED = r"^\s*[0-9]+(?:\.[0-9]+){0,5}\.?\s+\S"
 ROMAN_LINE, LETTERED = r"(?i)^\s*([IVXLCDM]+)\.?\s+\S", r"(?i)^\s*[A-Z]\.\s+\S"
+#: One expression for all keywords, so a line is folded once, not once for each.
+_ANY = "|".join(k for k, _ in KEYWORDS)
 HEADING_CHARS, HEADING_WORDS = 160, 16
 
 
@@ -31,11 +33,7 @@ def is_heading(line: Column, font: Column | None = None, body_font: Column | Non
     """Whether a line is a heading, by the first rule that decides: length, keyword, structural prefix, keyword with colon, capitals, font."""
     text = F.trim(line)
     folded, words = fold(text), F.regexp_count(text, F.lit(r"(?U)\S+"))
-    keyword = F.lit(False)
-    starts = F.lit(False)
-    for k, _ in KEYWORDS:
-        keyword = keyword | (folded == k) | folded.startswith(f"{k}:")
-        starts = starts | folded.startswith(k)
+    keyword, starts = folded.rlike(rf"^(?:{_ANY})(?::|\z)"), folded.rlike(f"^(?:{_ANY})")
     roman_like = text.rlike(ROMAN_LINE) & ~text.rlike(NUMBERED)
     structural = text.rlike(NUMBERED) | roman_like | text.rlike(LETTERED)
     capitals = (F.upper(text) == text) & (F.lower(text) != text) & F.char_length(text).between(5, 120) & (words <= 14)
@@ -49,22 +47,22 @@ def heading_level(line: Column) -> Column:
     """Depth of the number up to 5; Roman 1; letter 2; keyword 3; else 2."""
     text = F.trim(line)
     number = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+){0,5})\.?\s", 1)
-    folded = fold(text)
-    keyword = F.lit(False)
-    for k, _ in KEYWORDS:
-        keyword = keyword | folded.startswith(k)
+    keyword = fold(text).rlike(f"^(?:{_ANY})")
     return F.when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(5))).when(_roman(text), 1).when(text.rlike(LETTERED), 2).when(keyword, 3).otherwise(2).cast("int")
 
 
 def semantic_bucket(text: Column) -> Column:
     """The bucket of the keyword that comes first; keywords of up to three characters need word boundaries; none: general."""
-    folded = fold(text)
-    found = []
-    for i, (k, bucket) in enumerate(KEYWORDS):
-        at = F.regexp_instr(folded, F.lit(rf"\b{k}\b")) if len(k) <= 3 else F.instr(folded, k)
-        found.append(F.when(at > 0, F.struct(at.cast("int").alias("at"), F.lit(i).alias("nth"), F.lit(bucket).alias("bucket"))))
-    first = F.array_min(F.array_compact(F.array(*found)))
-    return F.coalesce(first["bucket"], F.lit("general"))
+
+    def first(folded: Column) -> Column:
+        found = []
+        for i, (k, bucket) in enumerate(KEYWORDS):
+            at = F.regexp_instr(folded, F.lit(rf"\b{k}\b")) if len(k) <= 3 else F.locate(k, folded)
+            found.append(F.when(at > 0, F.struct(at.cast("int").alias("at"), F.lit(i).alias("nth"), F.lit(bucket).alias("bucket"))))
+        return F.array_min(F.array_compact(F.array(*found)))["bucket"]
+
+    # transform() over one element binds the folded text, so it is worked out once
+    return F.coalesce(F.transform(F.array(fold(text)), first)[0], F.lit("general"))
 
 
 def intersects(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
