@@ -41,9 +41,13 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 25
     return rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(x).alias("v"))
 
 
+def _whole(products: np.ndarray) -> np.ndarray:
+    return products if products.dtype == np.int64 else np.rint(products).astype(np.int64)
+
+
 def _matrix(table: pa.Table) -> np.ndarray:
     column = table["v"].combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # whole numbers; products below stay exact
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return flat.reshape(table.num_rows, -1)
 
 
@@ -86,13 +90,17 @@ def _top_k(rows: DataFrame, k: int, length: int, every: int) -> DataFrame:
     def sides(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows' ids and vectors, queries' ids and vectors, each in order of id, and the order of the queries."""
         lo, ro = np.argsort(left["id"].to_numpy()), np.argsort(right["id"].to_numpy())
-        return left["id"].to_numpy()[lo], _matrix(left)[lo], right["id"].to_numpy()[ro], _matrix(right)[ro], ro
+        v, q = _matrix(left)[lo], _matrix(right)[ro]
+        # products and sums below 2^53 are exact in floating point, which is faster
+        if float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < 1 << 53:
+            v, q = v.astype(np.float64), q.astype(np.float64)
+        return left["id"].to_numpy()[lo], v, right["id"].to_numpy()[ro], q, ro
 
     def local(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, asked_for: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """First query and partial scores (AT_ONCE queries x rows); a query's own row gets the least number."""
         for at in range(0, len(qids), AT_ONCE):
             q = qids[at : at + AT_ONCE]
-            scores = np.rint(asked_for[at : at + AT_ONCE] @ vectors.T).astype(np.int64)  # below 2^53, so exact
+            scores = _whole(asked_for[at : at + AT_ONCE] @ vectors.T)
             place = np.minimum(np.searchsorted(ids, q), len(ids) - 1)
             own = np.flatnonzero(ids[place] == q)
             scores[own, place[own]] = -_NO
@@ -143,7 +151,7 @@ def _top_k(rows: DataFrame, k: int, length: int, every: int) -> DataFrame:
         for at in range(0, len(qids), AT_ONCE):
             q, r = np.nonzero(np.unpackbits(bits[at : at + AT_ONCE], axis=1, count=len(ids)))
             q += at
-            score = np.concatenate([np.zeros(0, np.int64), *(np.rint(np.einsum("ij,ij->i", asked_for[q[i : i + PAIRS]], vectors[r[i : i + PAIRS]])).astype(np.int64) for i in range(0, len(q), PAIRS))])
+            score = np.concatenate([np.zeros(0, np.int64), *(_whole(np.einsum("ij,ij->i", asked_for[q[i : i + PAIRS]], vectors[r[i : i + PAIRS]])) for i in range(0, len(q), PAIRS))])
             order = np.lexsort((r, -score, q))
             q, r, score = q[order], r[order], score[order]
             nth = np.arange(len(q)) - np.searchsorted(q, q)

@@ -306,6 +306,8 @@ def test_top_k(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df).collect()]
     assert sorted(got) == sorted(want)
     assert top_k(df.limit(0)).count() == 0
+    large = spark.createDataFrame([(0, [2.0**19, 1.0]), (1, [2.0**19, 3.0 / 256]), (2, [2.0**19, 2.0 / 256])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(large).orderBy("rank").collect()] == [(1, 2**54 + 768), (2, 2**54 + 512)]
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in top_k(few).collect()] == [(1, 128 * 256 + 128 * 512)]
 
