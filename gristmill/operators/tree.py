@@ -98,8 +98,10 @@ def cluster_level(nodes: DataFrame, options: TreeOptions, id_col: str = "node_id
     last = 1 + max(r["cluster"] for r in sizes)
     for c in large:
         inner = cluster_level(nodes.join(found.where(F.col("cluster") == c).select(id_col), id_col, "left_semi"), options, id_col)
-        out = out.unionByName(inner.withColumn("cluster", F.lit(last) + F.col("cluster")))
-        last += 1000
+        numbers = sorted(r["cluster"] for r in inner.select("cluster").distinct().collect())
+        dense = F.array_position(F.array(*map(F.lit, numbers)), F.col("cluster")).cast("int") - 1
+        out = out.unionByName(inner.withColumn("cluster", F.lit(last) + dense))
+        last += len(numbers)
     return out
 
 

@@ -1,5 +1,11 @@
 """Queries and operators over all of their rows, against brute force on small fixtures."""
 
+from collections import defaultdict
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from gristmill.operators import tree
 from gristmill.plans import catalog
 
 
@@ -27,3 +33,21 @@ def test_every_order_links_its_customers(spark, tmp_path):
     expected = smallest_of_component({900, *range(1, 401), *(x for e in edges for x in e)}, edges)
     got = [tuple(r) for r in catalog.queries()["connected_components_all_orders"](spark, str(tmp_path)).select("key", "component").collect()]
     assert set(got) == expected and len(got) == len(expected)
+
+
+def test_nested_oversize_splits_stay_apart(spark, monkeypatch):
+    """A level of 2 x 2 x 2 groups: both halves are oversize and so are both quarters of each."""
+
+    def by_next_letter(rows, options):
+        ids = [r["node_id"] for r in rows.collect()]
+        at = next(i for i in range(3) if len({x[i] for x in ids}) > 1)
+        one = F.substring("node_id", at + 1, 1) == "1"
+        return rows.withColumn("probability", array_to_vector(F.when(one, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))), 2, {}
+
+    monkeypatch.setattr(tree, "reduce_vectors", lambda nodes, components: nodes)
+    monkeypatch.setattr(tree, "mixture", by_next_letter)
+    nodes = spark.createDataFrame([(f"{g:03b}{i}", 1) for g in range(8) for i in range(3)], "node_id string, tokens int")
+    found = defaultdict(set)
+    for r in tree.cluster_level(nodes, tree.TreeOptions(max_cluster_tokens=3)).collect():
+        found[r["cluster"]].add(r["node_id"])
+    assert sorted(map(sorted, found.values())) == [[f"{g:03b}{i}" for i in range(3)] for g in range(8)]
