@@ -162,7 +162,12 @@ def prompt_contexts(spark, sf_dir):
 s AS (SELECT item_id, doc_id, len(list_filter(ts, lambda t: contains(lower(d.text), t))) AS score FROM q, documents d)
 SELECT item_id, doc_id, score::BIGINT AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def keyword_overlap_search(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda t: F.char_length(t) > 5)).alias("ts"))
+    return _overlaps(spark, sf_dir, F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda t: F.char_length(t) > 5)))
+
+
+def _overlaps(spark, sf_dir, question_tokens):
+    """The five documents that contain most of the tokens of each question."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), question_tokens.alias("ts"))
     few = asked.limit(R.QUESTION_BLOCK + 1).count() <= R.QUESTION_BLOCK
     low = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     pairs = low.join(F.broadcast(asked) if few else asked, F.col("doc_id").isNotNull())
@@ -171,6 +176,14 @@ def keyword_overlap_search(spark, sf_dir):
     return best.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(r"""WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS ts FROM benchmark),
+s AS (SELECT item_id, doc_id, len(list_filter(ts, lambda t: contains(lower(d.text), t))) AS score FROM q, documents d)
+SELECT item_id, doc_id, score::BIGINT AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
+def keyword_overlap_search_all_tokens(spark, sf_dir):
+    """The whole job of keyword_overlap_search, whose SQL takes long tokens only: every token of the question counts, short and repeated ones too."""
+    return _overlaps(spark, sf_dir, F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda t: t != ""))
+
+
 @query(f"WITH {BM25_SQL}, a AS (SELECT doc_id, round(sum(part), 6) AS score FROM part WHERE token IN ({_LIST(TERMS)}) GROUP BY doc_id),\n"
        "top AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a), rel AS (SELECT doc_id FROM labels WHERE quality = 1)\n"
        "SELECT round(count(*) FILTER (rank <= 50) / 50e0, 6) AS precision, round(count(*) FILTER (rank <= 50) / (SELECT count(*) FROM rel)::DOUBLE, 6) AS recall, round(1e0 / min(rank), 6) AS reciprocal_rank FROM top JOIN rel USING (doc_id)")

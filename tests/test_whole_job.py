@@ -51,3 +51,16 @@ def test_nested_oversize_splits_stay_apart(spark, monkeypatch):
     for r in tree.cluster_level(nodes, tree.TreeOptions(max_cluster_tokens=3)).collect():
         found[r["cluster"]].add(r["node_id"])
     assert sorted(map(sorted, found.values())) == [[f"{g:03b}{i}" for i in range(3)] for g in range(8)]
+
+
+def test_every_token_of_a_question_counts(spark, tmp_path):
+    questions = [(0, "Is it  an\tox or an elephant"), (1, "go to it"), (2, "elephant elephant ox")]
+    docs = [(0, "an ox, is it"), (1, "The ELEPHANT"), (2, "none"), (3, "GO"), (4, "or an elephant"), (5, None)]
+    spark.createDataFrame(questions, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = set()
+    for q, text in questions:
+        scores = [(-sum(t in (d or "").lower() for t in text.lower().split()), i) for i, d in docs]
+        expected |= {(q, i, -s, n) for n, (s, i) in enumerate(sorted(x for x in scores if x[0])[:5], 1)}
+    got = catalog.queries()["keyword_overlap_search_all_tokens"](spark, str(tmp_path)).select("item_id", "doc_id", "score", "rank").collect()
+    assert {tuple(r) for r in got} == expected and (1, 3, 1, 2) in expected
