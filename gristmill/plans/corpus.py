@@ -158,6 +158,24 @@ def looks_like_table(spark, sf_dir):
     return each.select("p_brand", "n_rows", L.looks_like_table(F.col("rows")).alias("lined"), L.looks_like_table(F.col("rows"), F.lit("text")).alias("aligned"))
 
 
+@query(r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part),
+c AS (SELECT p_brand, p, i // p AS table_no, list([p_name, p_type, p_size::VARCHAR] ORDER BY i) AS rows FROM n, (VALUES (1), (5), (9)) v(p) GROUP BY p_brand, p, i // p),
+x AS (SELECT p_brand, p, table_no, rows, list_filter(flatten(rows), lambda c: trim(c) <> '') AS filled FROM c),
+m AS (SELECT *, len(list_filter(filled, lambda c: regexp_full_match(c, '\p{L}{1,3}'))) / len(filled)::DOUBLE AS short, len(list_filter(rows, lambda r: len(list_filter(r, lambda c: regexp_full_match(c, '\p{L}{1,3}'))) >= 2)) / len(rows)::DOUBLE AS frag,
+  len(list_filter(filled, lambda c: regexp_matches(c, '^\p{Ll}'))) / len(filled)::DOUBLE AS low, array_to_string(filled, ' ') AS whole FROM x),
+l AS (SELECT *, len(rows) >= 2 AND list_sum(list_transform(filled, lambda c: length(c))) >= 12 AND len(filled) >= 4 AS lined FROM m)
+SELECT p_brand, p::BIGINT AS cut, table_no::BIGINT AS table_no, len(rows)::BIGINT AS n_rows, lined,
+  lined AND NOT ((short >= 0.5 AND frag >= 0.35) OR low >= 0.22 OR len(regexp_extract_all(whole, '\.\.\.')) >= 3 OR len(regexp_extract_all(whole, '\.')) / length(whole)::DOUBLE >= 0.08 OR len(rows) < 3 OR (short >= 0.4 AND frag >= 0.25)) AS aligned FROM l""")
+def looks_like_table_all_parts(spark, sf_dir):
+    """The whole job of looks_like_table, whose SQL takes a brand's first nine parts: all parts of a brand, cut into consecutive tables of one, five and nine rows."""
+    at = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")
+    parts = table(spark, sf_dir, "part").withColumn("at", at).withColumn("cut", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 5, 9)))))
+    row = F.struct("at", F.array(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")).alias("cells"))
+    tables = parts.groupBy("p_brand", "cut", F.expr("at div cut").alias("table_no")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"]).alias("cells"))
+    rows = L.clean_rows(F.col("cells"))
+    return tables.select("p_brand", "cut", "table_no", F.size("cells").cast("long").alias("n_rows"), L.looks_like_table(rows).alias("lined"), L.looks_like_table(rows, F.lit("text")).alias("aligned"))
+
+
 def _turns(spark, sf_dir):
     """Conversations as pages: a turn is a chunk; tools make tables."""
     kind = F.when(F.col("role") == "tool", "table").when(F.col("turn") % 7 == 6, "visual").otherwise("text")
