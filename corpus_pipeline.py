@@ -16,8 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null or empty texts, and those without a letter. lang stays as it is."""
-    return identify(docs, train(docs)).where("lang_pred <> 'und'").select(*COLUMNS)
+    """Drops documents without a language: null or empty texts, and those without a letter. lang stays as it is. Where no language could be learned, texts with a letter stay."""
+    model = train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return identify(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
