@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm._common import others
 
-_DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|$)|<!doctype[^>]*>", re.S | re.I)
+#: An unclosed head ends where the body or any element begins that can't be in a head.
+_DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<(head)\b[^>]*>(?:<!--.*?(?:-->|$)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\3\s*>|$)|(?!</head\s*>|<(?!(?:head|base|basefont|bgsound|link|meta|title|script|style|noscript|template)\b)[a-z]).)*(?:</head\s*>)?|<!doctype[^>]*>", re.S | re.I)
 _BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|blockquote|pre|title|hr|dd|dt|dl|aside|main|form|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
