@@ -72,12 +72,10 @@ def test_line_dedup(docs, empty):
     assert dedup_lines(docs, min_docs=3).agg(F.sum("n_dropped")).first()[0] <= sum(w[2] for w in want)
 
 
-@pytest.mark.parametrize("chunk", [6 << 20, 3000])
-def test_substring_dedup(docs, empty, monkeypatch, chunk):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
-    rows = sorted(((r[0], r[1]) for r in documents()), key=lambda r: (*order(r), hashlib.sha256((r[1] or "").encode()).digest()))
+def without_repeats(rows):
+    """Brute force of the substring deduplication over (id, text)."""
     seen, want = set(), []
-    for d, t in rows:
+    for d, t in sorted(rows, key=lambda r: (*order(r), hashlib.sha256((r[1] or "").encode()).digest())):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for a in range(len(w) - 19):
@@ -86,11 +84,52 @@ def test_substring_dedup(docs, empty, monkeypatch, chunk):
                 gone[a : a + 20] = [True] * 20
             seen.add(k)
         want.append((d, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return want
+
+
+@pytest.mark.parametrize("chunk, fanout", [(6 << 20, 6), (3000, 6), (3000, 2), (1500, 1)])
+def test_substring_dedup(docs, empty, monkeypatch, chunk, fanout):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substring_dedup, "FANOUT_BITS", fanout)
+    want = without_repeats([(r[0], r[1]) for r in documents()])
     got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup.dedup_substrings(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_of_null_and_shared_ids_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "FANOUT_BITS", 2)
+    rng = random.Random(3)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
+    rows = [(rng.choice([None, None, 4, 9, i]), " ".join([rng.choice(passages), f"own{i} " * rng.randrange(4), rng.choice(passages)])) for i in range(150)]
+    got = [tuple(r) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "n_words", "n_removed", "text").collect()]
+    assert sorted(got, key=str) == sorted(without_repeats(rows), key=str)
+    with pytest.raises(TypeError):
+        substring_dedup.dedup_substrings(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_substring_dedup_compares_words_not_weak_hashes(spark):
+    """The Thue-Morse words of 1,024 letters have equal polynomial hashes mod 2^64 for any odd base."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    tail = " ".join(f"t{i}" for i in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_sketches_grow_with_the_chunks():
+    rng = np.random.default_rng(1)
+    for chunks in (10, 1000, 100_000, 10_000_000):
+        steps = substring_dedup.Steps(chunks, 44)
+        cells = np.unique(rng.integers(0, 1 << 44, 5000, dtype=np.uint64))
+        assert len(steps.sketch_pieces(0, 0, chunks - 1, 0, cells, cells[:9])) <= 1 << substring_dedup.FANOUT_BITS
+        assert max(steps.bits) <= substring_dedup.FANOUT_BITS and chunks / 3 <= 1 << sum(steps.bits) < chunks
+    assert [len(substring_dedup.ladder(c)) for c in (1, 190, 10_000, 10_000_000)] == [1, 1, 2, 4]
+
+
 def brute_fingerprint(text):
     w = re.findall(SPACE, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
