@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, language_id, packing, simhash, substring_dedup, warc
+from gristmill.llm import bpe, language_id, packing, simhash, substring_dedup, topk, warc
 from gristmill.llm.line_dedup import dedup_lines
 from gristmill.llm.quality_rules import counts, judge
 from gristmill.llm.sharding import jump, mix, shard_rows
@@ -332,19 +332,23 @@ def test_packing_takes_the_tightest_compatible_bin():
         bins[number][2].add(c)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
-    data += [(400 + i, data[50][1]) for i in range(8)] + [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, data[0][1]), (504, []), (50, data[50][1])]
+    data += [(400 + i, data[50][1]) for i in range(8)] + [(7, data[8][1]), (7, data[8][1])] + [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, data[0][1]), (504, []), (50, data[50][1])]
     df = spark.createDataFrame([(*r, "x", 1) for r in data], "vec_id long, embedding array<float>, score string, id int")
-    usable = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()}
+    usable = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for q in (x for x in usable if x % 50 == 0):
-        best = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for at, (q, asked) in enumerate(usable):
+        if q % 50 == 0:
+            best = sorted((-int(asked @ v), i) for j, (i, v) in enumerate(usable) if j != at)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == sorted(want) and sum(r[0] == 50 for r in got) == 10
     assert top_k(df.limit(0)).count() == 0
+    monkeypatch.setattr(topk, "ROW_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df).collect()) == sorted(want)
     large = spark.createDataFrame([(0, [2.0**19, 1.0]), (1, [2.0**19, 3.0 / 256]), (2, [2.0**19, 2.0 / 256])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in top_k(large).orderBy("rank").collect()] == [(1, 2**54 + 768), (2, 2**54 + 512)]
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
