@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import others
+from gristmill.llm._common import materialise, others
 
 MAX_N, BITS = 4, 17
-#: The bounds of what is fitted on, whatever the size of the input: rows a language, languages, landmarks a language, ridge.
-ROWS_PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 400, 200, 40, 1e-3
+#: The bounds of what is fitted on, whatever the size of the input: labelled rows of a language and of all languages,
+#: landmarks of a language and of all. Every language is learned: with many of them each has fewer rows and landmarks,
+#: one at least.
+ROWS_PER_LANGUAGE, ROWS, LANDMARKS_PER_LANGUAGE, LANDMARKS, RIDGE = 400, 2000, 40, 400, 1e-3
 SLICE = 1 << 20
 
 
@@ -70,8 +72,10 @@ class Model:
 def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     """From (language, numbers of the n-grams) of a bounded sample; languages and rows in a fixed order."""
     languages = sorted({r[0] for r in rows})
-    target = np.array([languages.index(r[0]) for r in rows])
-    chosen = np.concatenate([np.flatnonzero(target == k)[:LANDMARKS] for k in range(len(languages))]).astype(int)
+    number = {lang: i for i, lang in enumerate(languages)}
+    target = np.array([number[r[0]] for r in rows])
+    marks_each = max(1, min(LANDMARKS_PER_LANGUAGE, LANDMARKS // len(languages)))
+    chosen = np.concatenate([np.flatnonzero(target == k)[:marks_each] for k in range(len(languages))]).astype(int)
 
     def presence(at: np.ndarray) -> np.ndarray:
         out = np.zeros((len(at), 1 << BITS), bool)
@@ -103,16 +107,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on at most ROWS_PER_LANGUAGE rows of each language that are not held out, those of smallest hash of the id.
+    """Fits on a bounded sample of the labelled rows that are not held out: of each language those of smallest hash of id and text.
 
-    Whole texts become n-gram numbers on the executors; the driver gets those (2^BITS at most a row), no text.
+    At most ROWS_PER_LANGUAGE rows of a language and ROWS of all (but one of each language). Rows with a null id,
+    language or text, or a text without a letter, are not learned from; rows equal in id and text count once. Whole texts become
+    n-gram numbers on the executors; the driver gets those (2^BITS at most a row), no text.
     """
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy("h", "id")
-    ids = usable.select(F.col(lang_col), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS_PER_LANGUAGE)
-    first = [r[0] for r in ids.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
-    wanted = ids.where(F.col(lang_col).isin(first)).select(F.col("id").alias(id_col)).distinct()
-    rows = usable.join(F.broadcast(wanted), id_col, "left_semi").select(F.xxhash64(F.col(id_col)).alias("h"), lang_col, text_col)
+    known = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
+    usable = docs.where(~held_out(id_col) & known).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    sample = materialise(sample)
+    languages = sample.where("n = 1").count()
+    wanted = sample.where(F.col("n") <= max(1, ROWS // max(1, languages))).select("lang", "h")
+    rows = usable.join(F.broadcast(wanted), ["lang", "h"], "left_semi").select("h", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +130,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 numbers.append(np.flatnonzero(presence[0]).astype(np.int32).tobytes() if lettered[0] else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.binary())], ["h", "lang", "numbers"])
 
-    found = [(r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(run, "h bigint, lang string, numbers binary").where("numbers is not null").collect()]
-    found = sorted(set(found))
+    each = rows.mapInArrow(run, "h bigint, lang string, numbers binary").where("numbers is not null").groupBy("h", "lang").agg(F.min("numbers").alias("numbers"))
+    found = sorted((r[0], r[1], bytes(r[2])) for r in each.collect())
     if not found:
         return Model([], np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros((1, 0), np.float32))
     return fit([(lang, np.frombuffer(n, np.int32)) for _, lang, n in found])
@@ -133,7 +141,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """The columns `keep` (default: all) with lang_pred (string) and score (double, 0 to 1: the best language's output, cut off at both).
 
     A text that is null, empty or has no letter is `und` with score 0, as is any where nothing could be learned.
-    Ties go to the language that sorts first. Whole texts count, however long; equal texts get equal results.
+    Ties go to the language that sorts first; repeated rows come out each. An empty table gives an empty one. Whole texts count, however long; equal texts get equal results.
     """
     names = others(docs, "lang_pred", "score") if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
