@@ -6,8 +6,9 @@ neither with it: the search begins at the first bin with enough room and goes on
 if none is, a new bin opens. So no bin holds two pieces of one duplicate cluster, or more than one document of a source.
 
 A document longer than the capacity is cut: its full pieces have bins of their own, the rest is packed like any other.
-Documents are spread over shards of bounded size by a hash of the row, so neither a hot source nor a hot cluster
-gathers in one task; only lengths and numbers are shuffled, no texts. The number of shards follows the number of rows.
+Documents are spread over shards of bounded size by a hash of id, cluster and, for equal rows, their count, so neither
+a hot source nor a hot cluster nor a row that is repeated very often gathers in one task; only lengths and numbers are
+shuffled, no texts. The number of shards follows the number of rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from gristmill.llm._common import LOWER, UPPER, WORD_RE
 
 CAPACITY, SHARD_ROWS = 2048, 4000
+#: Repeats of a row that one task makes from their count.
+REPEATS = 1 << 16
 
 
 def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -54,31 +57,45 @@ def copy_group(text_col: str = "text") -> Column:
     return F.xxhash64(flat)
 
 
+def spread(docs: DataFrame, id_col: str, source_col: str, length: Column, cluster: Column, shard_rows: int) -> DataFrame:
+    """(id, source, n, cluster, shard): what packing needs of each document. Equal rows are counted before the shuffle and numbered again after it, so that they part."""
+    shards = max(1, -(-docs.count() // shard_rows))
+    light = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("\0null")).cast("string").alias("source"), F.coalesce(length.cast("long"), F.lit(0).cast("long")).alias("n"), cluster.cast("long").alias("cluster"))
+    columns = ["id", "source", "n", "cluster"]
+    counted = light.groupBy(*columns).agg(F.count("*").alias("copies"))
+    few = counted.where(F.col("copies") <= REPEATS).select(*columns, F.lit(0).cast("long").alias("block"), "copies")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / REPEATS)))
+    many = counted.where(F.col("copies") > REPEATS).select(*columns, blocks.alias("block"), "copies").repartition(*columns, "block")
+    last = F.least(F.lit(REPEATS).cast("long"), F.col("copies") - F.col("block") * REPEATS)
+    each = few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    return each.select(*columns, F.pmod(F.xxhash64("id", "cluster", "block", "copy"), F.lit(shards)).cast("long").alias("shard"))
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: Column | None = None, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(bin, slot, id, piece, start, length, offset): a row for each piece, whole documents over all its rows.
 
     length defaults to the number of words, cluster to copies up to case and white space. start is the piece's first
     word in the document, offset its place in the bin, slot its rank there. bin is `shard.number` as one long. A shard
     packs longest pieces first, then by id. A document without words has one piece of length 0: bin -1, no place. A
-    null source is a source of its own; null ids come last; repeated rows are packed each, never into one bin.
+    null source is a source of its own; null ids come last; repeated rows are packed each, never into one bin. Ids are
+    of any type that sorts. Further columns are left; an empty table gives an empty one. A very long document has a bin for
+    each full piece, so its rows grow with it.
     """
     if not 0 < capacity < 1 << 31:
         raise ValueError("capacity must be positive")
     kind = docs.schema[id_col].dataType.simpleString()
-    length = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_RE), F.lit(0))) if length is None else length
-    shards = max(1, -(-docs.count() // shard_rows))
-    light = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("\0null")).cast("string").alias("source"), length.cast("long").alias("n"), (copy_group(text_col) if cluster is None else cluster).cast("long").alias("cluster"))
-    light = light.withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).cast("long"))
-    schema = pa.schema([("bin", pa.int64()), ("slot", pa.int32()), ("id", pa.from_numpy_dtype("i8") if kind == "bigint" else pa.string()), *((c, pa.int64()) for c in ("piece", "start", "length", "offset"))])
+    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_RE), F.lit(0)))
+    light = spread(docs, id_col, source_col, words if length is None else length, copy_group(text_col) if cluster is None else cluster, shard_rows)
+    names = ["bin", "slot", "id", "piece", "start", "length", "offset"]
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["id"].to_pylist(), table["n"].to_pylist(), table["source"].to_pylist(), table["cluster"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[3], r[2]))
+        columns = (table[c].to_pylist() for c in ("id", "n", "source", "cluster"))
+        rows = sorted(zip(*columns, strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[3], r[2], r[1]))
         shard = table["shard"][0].as_py() if rows else 0
         sources, clusters, items, out = {}, {}, [], []
         full = 0
         for id_, n, source, cluster_ in rows:
             s, c = sources.setdefault(source, len(sources)), clusters.setdefault(cluster_, len(clusters))
-            n = n or 0
             if n == 0:
                 out.append((-1, None, id_, 0, 0, 0, None))
             for piece in range(n // capacity):
@@ -91,7 +108,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for (size, _, _, id_, piece), (number, offset) in zip(items, pack([x[:3] for x in items], capacity), strict=True):
             slots[number] = slot = slots.get(number, -1) + 1
             out.append(((shard << 32) + number, slot, id_, piece, piece * capacity, size, offset))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, schema.types, strict=True)], schema=schema)
+        types = [pa.int64(), pa.int32(), table.schema.field("id").type, *[pa.int64()] * 4]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
 
-    packed = light.groupBy("shard").applyInArrow(run, f"bin bigint, slot int, id {kind if kind == 'bigint' else 'string'}, piece bigint, start bigint, length bigint, offset bigint")
+    packed = light.groupBy("shard").applyInArrow(run, f"bin bigint, slot int, id {kind}, piece bigint, start bigint, length bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)
