@@ -3,6 +3,8 @@
 Rules look at counts of a text and vote bad, vote good, or abstain. How far each rule is to be believed is not given:
 expectation-maximisation over the unlabelled votes of all documents estimates, for each rule and class, how often it
 votes what (two latent classes, votes independent given the class), and the posterior probability of `good` decides.
+Without a prior the classes may drift to any split of the votes, such as texts with and without repeated lines; so the
+first assignment (a vote for bad makes a document bad, most likely) stays as the prior counts of every round.
 
 Votes are counted by pattern; there are at most 3^RULES patterns (729), so what the driver iterates on has a fixed
 size however many documents there are. Posteriors go back as a literal array that the pattern's number indexes.
@@ -21,13 +23,15 @@ from gristmill.llm._common import WORD_RE, WS, materialise, others
 #: Name, condition of a vote for bad, condition of a vote for good; whole numbers only, so that SQL engines agree.
 RULES = [
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    ("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 2 * n_words"),
-    ("lines", "4 * n_dup_lines > n_lines", "false"),
+    ("repeats", "100 * n_repeat_words > 10 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    ("lines", "4 * n_dup_lines > n_lines", "8 * n_dup_lines <= n_lines"),
     ("capitals", "2 * n_capitals > word_chars", "8 * n_capitals <= word_chars"),
-    ("exclamations", "4 * n_exclamations > n_words", "false"),
-    ("length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "false"),
+    ("exclamations", "4 * n_exclamations > n_words", "20 * n_exclamations <= n_words"),
+    ("length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars >= 3 * n_words and word_chars <= 11 * n_words"),
 ]
-ROUNDS, PRIOR, SMOOTH = 15, 0.9, 0.01
+#: Rounds of the estimate; probability of good to begin with, without and with a vote for bad; weight of the beginning as
+#: the prior of all rounds (with 1 the distance to the fixed point halves at least in each); added to every count.
+ROUNDS, NO_BAD, SOME_BAD, ANCHOR, SMOOTH = 25, 0.9, 0.05, 1.0, 0.01
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -75,19 +79,25 @@ def pattern() -> Column:
 
 
 def estimate(found: dict[int, int]) -> tuple[dict[int, float], list]:
-    """Posterior probability of `good` by pattern, and for each rule P(vote | bad), P(vote | good)."""
+    """Posterior probability of `good` by pattern, and for each rule P(vote | bad, not abstaining), P(vote | good, not abstaining); abstaining says nothing."""
     votes = {p: [p // 3**k % 3 for k in range(len(RULES))] for p in found}
-    # to begin with, one vote for bad outweighs a few for good
-    post = {p: 0.05 if 1 in v else PRIOR for p, v in votes.items()}
-    likely = []
+    first = {p: SOME_BAD if 1 in v else NO_BAD for p, v in votes.items()}
+
+    def masses(post: dict[int, float]) -> tuple[list[float], list[list[list[float]]]]:
+        """Documents by class, and by rule, class and vote."""
+        of = lambda p, c: post[p] if c else 1 - post[p]
+        by_vote = [[[sum(n * of(p, c) for p, n in found.items() if votes[p][k] == v) for v in range(3)] for c in (0, 1)] for k in range(len(RULES))]
+        return [sum(n * of(p, c) for p, n in found.items()) for c in (0, 1)], by_vote
+
+    prior, prior_votes = masses(first)
+    post, likely = first, []
     for _ in range(ROUNDS):
-        good = sum(n * post[p] for p, n in found.items())
-        bad = sum(n * (1 - post[p]) for p, n in found.items())
-        likely = []
-        for k in range(len(RULES)):
-            of = [[SMOOTH + sum(n * (post[p] if c else 1 - post[p]) for p, n in found.items() if votes[p][k] == v) for v in range(3)] for c in (0, 1)]
-            likely.append([[x / (total + 3 * SMOOTH) for x in row] for row, total in zip(of, (bad, good), strict=True)])
-        share = (good + SMOOTH) / (good + bad + 2 * SMOOTH)
+        now, now_votes = masses(post)
+        size = [ANCHOR * prior[c] + now[c] for c in (0, 1)]
+        seen = [[[SMOOTH + ANCHOR * prior_votes[k][c][v] + now_votes[k][c][v] for v in (1, 2)] for c in (0, 1)] for k in range(len(RULES))]
+        likely = [[[1.0, bad / (bad + good), good / (bad + good)] for bad, good in rule] for rule in seen]
+        share = (size[1] + SMOOTH) / (sum(size) + 2 * SMOOTH)
+        post = {}
         for p, v in votes.items():
             g, b = share, 1 - share
             for k, vote in enumerate(v):
@@ -101,7 +111,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     """The columns `keep` (default: all) with the counts, base_failed, posterior (double) and kept.
 
     base_failed: under 10 words, or over a fifth of them in repeated windows of five. Such a document is not kept and
-    has no part in the estimate. Null and empty texts have no words and fail. Documents with equal votes, repeated
+    has no part in the estimate. Null and empty texts have no words and fail; whole texts count, however long. Documents with equal votes, repeated
     rows among them, get equal posteriors. An empty table gives an empty one. Added columns replace those of their names.
     """
     rows = counts(docs, text_col).withColumns({"base_failed": F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"), "__pattern": pattern()})
@@ -119,12 +129,16 @@ def judge_sql() -> str:
     k = range(len(RULES))
     votes = ", ".join(f"CASE WHEN {bad} THEN 1 WHEN {good} THEN 2 ELSE 0 END AS v{i}" for i, (_, bad, good) in enumerate(RULES))
     names = ", ".join(f"v{i}" for i in k)
-    steps, before = [], f"p0 AS (SELECT *, CASE WHEN 1 IN ({names}) THEN 0.05e0 ELSE {PRIOR}e0 END AS post FROM patterns)"
-    steps.append(before)
+    sides = ((0, "(1 - post)"), (1, "post"))
+    total = ", ".join(f"coalesce(sum(n * {w}), 0) AS t{c}" for c, w in sides)
+    sums = ", ".join(f"coalesce(sum(n * {w}) FILTER (v{i} = {v}), 0) AS s{i}{c}{v}" for i in k for c, w in sides for v in (1, 2))
+    steps = [f"p0 AS (SELECT *, CASE WHEN 1 IN ({names}) THEN {SOME_BAD}e0 ELSE {NO_BAD}e0 END AS post FROM patterns)", f"b AS (SELECT {total}, {sums} FROM p0)"]
     for r in range(1, ROUNDS + 1):
-        sums = ", ".join(f"({SMOOTH}e0 + coalesce(sum(n * {w}) FILTER (v{i} = {v}), 0)) / (sum(n * {w}) + 3 * {SMOOTH}e0) AS l{i}{c}{v}" for i in k for c, w in ((0, "(1 - post)"), (1, "post")) for v in range(3))
-        steps.append(f"m{r} AS (SELECT (sum(n * post) + {SMOOTH}e0) / (sum(n) + 2 * {SMOOTH}e0) AS share, {sums} FROM p{r - 1})")
-        like = lambda c: " * ".join(f"(CASE v{i} WHEN 0 THEN l{i}{c}0 WHEN 1 THEN l{i}{c}1 ELSE l{i}{c}2 END)" for i in k)  # noqa: B023, E731
+        seen = lambda i, c, v: f"({SMOOTH}e0 + {ANCHOR}e0 * b.s{i}{c}{v} + u.s{i}{c}{v})"
+        rates = ", ".join(f"{seen(i, c, v)} / ({seen(i, c, 1)} + {seen(i, c, 2)}) AS l{i}{c}{v}" for i in k for c in (0, 1) for v in (1, 2))
+        share = f"({ANCHOR}e0 * b.t1 + u.t1 + {SMOOTH}e0) / ({ANCHOR}e0 * (b.t0 + b.t1) + u.t0 + u.t1 + 2 * {SMOOTH}e0) AS share"
+        steps.append(f"m{r} AS (SELECT {share}, {rates} FROM b, (SELECT {total}, {sums} FROM p{r - 1}) u)")
+        like = lambda c: " * ".join(f"(CASE v{i} WHEN 0 THEN 1e0 WHEN 1 THEN l{i}{c}1 ELSE l{i}{c}2 END)" for i in k)
         steps.append(f"g{r} AS (SELECT {names}, n, share * {like(1)} AS good, (1 - share) * {like(0)} AS bad FROM p{r - 1}, m{r})")
         steps.append(f"p{r} AS MATERIALIZED (SELECT {names}, n, good / (good + bad) AS post FROM g{r})")
     return rf"""
