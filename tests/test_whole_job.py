@@ -5,8 +5,6 @@ from collections import defaultdict
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from gristmill.llm import warc
 from gristmill.operators import tree
 from gristmill.plans import catalog
 
@@ -78,15 +76,3 @@ def test_every_part_is_in_a_table_of_each_size(spark, tmp_path):
             assert sizes == [cut] * (n // cut) + [n % cut] * (n % cut > 0)
     verdicts = {r["table_no"]: r["aligned"] for r in got if (r["p_brand"], r["cut"]) == ("b", 9)}
     assert verdicts[0] and not verdicts[4]  # the last rows alone look like prose
-
-
-def test_without_any_language_only_texts_without_a_letter_go(spark):
-    rows = [(1, "Some words."), (2, "été"), (3, "12 !?"), (4, ""), (5, None), (6, "字")]
-    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 2, 6]
-
-
-def test_a_head_without_its_end_tag_ends_at_the_body():
-    for page in ("<head><title>T</title><body><p>Text <a href=x>y</a>", "<head><title>T</title><meta charset=a><script>if (a<b) c()</script><p>Text <a href=x>y</a>"):
-        assert warc.plain_text(page) == "Text y"
-        assert warc.fields_of(page) == "title: T\r\noutlink: x L a/@href\r\n"
