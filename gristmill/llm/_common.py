@@ -51,11 +51,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes every scratch table. Call it when no result that reads them is needed any more."""
+def scratch_mark() -> int:
+    """For release(): the tables written from now on."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Removes the scratch tables written since a mark (default: all), but the last if it is still read. Call it when no result that reads them is needed any more."""
     try:
-        while _scratch:
-            _delete(spark, _scratch.pop())
+        gone = _scratch[since : len(_scratch) - but_last]
+        del _scratch[since : len(_scratch) - but_last]
+        for path in gone:
+            _delete(spark, path)
     except Exception:  # the JVM may be gone at exit  # noqa: BLE001
         _scratch.clear()
 

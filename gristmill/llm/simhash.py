@@ -161,3 +161,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(near_links(nodes.select("node", "fp"), distance))
     classes = materialise(nodes.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")))
     return lookup(prints, classes, ["fp"], "n", "inner").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """docs less near-duplicates: of each component one row stays, that of smallest id (null last), then of smallest hash of the row.
+
+    Components are those of the fingerprints alone, so rows that share an id, or have none, are compared like all
+    others. Of rows equal in id and hash one stays. Only numbers are shuffled to choose the rows; the texts travel once, to the
+    chosen ones. An empty table gives an empty one.
+    """
+    row = {"__last": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)), "__h": F.xxhash64(*docs.columns)}
+    keyed = docs.withColumns(row)
+    prints = materialise(fingerprints(keyed.withColumn("__own", F.struct(*row)), "__own", text_col, shingle))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("__own").alias("own")))
+    found = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), distance))
+    classed = nodes.join(found, nodes.fp == found.node, "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("own").alias("own"))
+    kept = keyed.join(classed.select("own.*"), list(row), "left_semi").dropDuplicates(list(row))
+    return kept.drop(*row)
