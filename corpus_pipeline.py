@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import materialise
+from gristmill.llm._common import materialise, release, scratch_mark
 from gristmill.llm.language_id import identify, train
 from gristmill.llm.line_dedup import dedup_lines
 from gristmill.llm.packing import pack_documents
-from gristmill.llm.simhash import near_duplicates
+from gristmill.llm.simhash import one_of_each
 from gristmill.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: The least score of a text whose language counts as known.
+MIN_SCORE = 0.25
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null or empty texts, and those without a letter. lang stays as it is. Where no language could be learned, texts with a letter stay."""
+    """Drops documents of no known language: null or empty texts, those without a letter, and those that score below MIN_SCORE in every language.
+
+    lang becomes the predicted one, so later stages and readers see what was decided. Where no language could be
+    learned (no labelled rows), texts with a letter stay as they are.
+    """
     model = train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return identify(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
+    found = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +38,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, keeps the one of smallest doc_id. Of rows equal in id and text one stays; a document without an id stays."""
-    chosen = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of near-duplicates, keeps the one of smallest doc_id; documents without an id come last and are compared like all others."""
+    return one_of_each(docs).select(*COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Between stages there is one table: those of earlier stages are removed as soon as the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = scratch_mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+            release(spark, before, but_last=True)
     return docs
