@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -201,3 +201,11 @@ def markdown_table(rows: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
+
+
+def group_fingerprints(rows: DataFrame, by: list[str], parts: list[Column]) -> DataFrame:
+    """(by, n, fingerprint): a digest of each group's rows that no order changes: the sums of the words of their SHA-1 digests, which are combined before the shuffle, so a group of any size costs one row a task."""
+    h = F.sha1(F.concat_ws("\t", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
+    words = [F.sum(F.conv(F.substring("__h", at, 8), 16, 10).cast("long")).alias(f"s{i}") for i, at in enumerate((1, 9, 17, 25, 33))]
+    sums = rows.select(*by, h.alias("__h")).groupBy(*by).agg(F.count("*").alias("n"), *words)
+    return sums.select(*by, "n", F.sha1(F.concat_ws(":", "n", *(f"s{i}" for i in range(5)))).alias("fingerprint"))

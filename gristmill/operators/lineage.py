@@ -1,17 +1,62 @@
-"""Cutting lineage between rounds of an iterative operator."""
+"""Cutting lineage between rounds of an iterative operator, and spreading small scans."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; where it names none, the rows are kept and worked out again if lost."""
-    context = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+#: Scans of fewer bytes are spread over all cores before heavy work: a small file may be one row group, hence one task.
+SMALL_SCAN = 32 << 20
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """Sets the checkpoint folder: the one that the cluster names in spark.checkpoint.dir.
+
+    Where it names none and all executors are threads of this process (tests), a temporary folder serves; on a cluster
+    the setting is needed, as executors share no local folder.
+    """
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared)
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="gristmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
+    context.setCheckpointDir(shared)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """df over all cores if the optimiser's estimate of it is below SMALL_SCAN; larger tables have tasks enough and stay as they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= SMALL_SCAN:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder of cut(), for tables that a job writes and reads again; it goes when the driver's Python ends."""
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/gristmill-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone  # noqa: BLE001
+        return

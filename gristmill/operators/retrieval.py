@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gristmill.functions.text import fold, snippet, squeeze
+from gristmill.operators.lineage import cut
 
 K1, B = 1.7e0, 0.83e0
 CHANNEL_WEIGHTS = {"bm25": 2.0, "dense": 5.0, "colbert": 3.0}
@@ -31,26 +38,46 @@ def term_stats(posting: DataFrame, nodes: int, id_col: str = "node_id") -> DataF
     return posting.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1e0 + (F.lit(float(nodes)) - F.col("df") + 0.5e0) / (F.col("df") + 0.5e0)))
 
 
-def corpus_stats(nodes: DataFrame, terms: Column) -> tuple[int, float]:
-    """Number of nodes and average length: one small aggregate, two numbers to the driver."""
-    row = nodes.agg(F.count("*"), F.coalesce(F.avg(F.size(terms)), F.lit(0e0))).first()
-    return row[0], row[1]
+#: Vocabularies up to this size are broadcast (some 10 MB); larger ones are joined by shuffle.
+BROADCAST_TOKENS = 100_000
+
+
+def asked_postings(nodes: DataFrame, terms: Column, vocabulary: DataFrame, id_col: str = "node_id") -> tuple[DataFrame, int, float]:
+    """(id, token, tf, dl) of the tokens in vocabulary, the number of nodes and their average length, from one pass over the texts.
+
+    Every node adds a null token, and tokens that no one asked for count as null too, so a node leaves one row besides
+    those asked for. The rows are checkpointed; two numbers go to the driver.
+    """
+    listed = nodes.select(id_col, terms.alias("__terms")).select(id_col, F.size("__terms").cast("long").alias("dl"), F.concat("__terms", F.array(F.lit(None).cast("string"))).alias("__terms"))
+    each = listed.select(id_col, "dl", F.explode("__terms").alias("__token"))
+    words = cut(vocabulary.select(F.col("token").alias("__token"), F.col("token")))
+    words = F.broadcast(words) if words.count() <= BROADCAST_TOKENS else words
+    marked = each.join(words, "__token", "left")
+    rows = cut(marked.groupBy(id_col, "token", "dl").agg(F.count("*").alias("tf")))
+    n, avgdl = rows.where("token is null").agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0e0))).first()
+    return rows.where("token is not null"), n, avgdl
+
+
+def bm25_weights(posting: DataFrame, idf: DataFrame, avgdl: float, k1: float = K1, b: float = B) -> DataFrame:
+    """posting with `part`, what a node gains for a token."""
+    weight = F.col("tf") * F.lit(k1 + 1e0) / (F.col("tf") + F.lit(k1) * (F.lit(1e0 - b) + F.lit(b) * F.col("dl") / F.lit(max(avgdl, 1e-6))))
+    return posting.join(idf.select("token", "idf"), "token").withColumn("part", F.col("idf") * weight)
+
+
+def asked_tokens(questions: DataFrame, question_terms: Column | None) -> DataFrame:
+    """(query_id, token), each once; questions have token, or text for question_terms."""
+    return (exploded(questions, question_terms, "query_id") if question_terms is not None else questions).select("query_id", "token").distinct()
 
 
 def bm25(nodes: DataFrame, terms: Column, questions: DataFrame, id_col: str = "node_id", question_terms: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) of all nodes with a term of the question; questions have query_id and token, or text for question_terms.
 
-    Only the questions' terms are kept of the postings before anything is shuffled: df needs no more, and the length of
-    a document is known before its terms are exploded.
+    For a collection that is asked again and again see index.build_index(), which keeps the postings.
     """
-    asked = (exploded(questions, question_terms, "query_id") if question_terms is not None else questions).select("query_id", "token").distinct()
-    n, avgdl = corpus_stats(nodes, terms)
-    vocabulary = asked.select("token").distinct()
-    each = exploded(nodes, terms, id_col).join(vocabulary, "token", "left_semi")
-    posting = each.groupBy("token", id_col, "dl").agg(F.count("*").alias("tf"))
-    idf = term_stats(posting, n, id_col)
-    weight = F.col("tf") * F.lit(k1 + 1e0) / (F.col("tf") + F.lit(k1) * (F.lit(1e0 - b) + F.lit(b) * F.col("dl") / F.lit(max(avgdl, 1e-6))))
-    return posting.join(idf, "token").withColumn("part", F.col("idf") * weight).join(asked, "token").groupBy("query_id", id_col).agg(F.sum("part").alias("score"))
+    asked = asked_tokens(questions, question_terms)
+    posting, n, avgdl = asked_postings(nodes, terms, asked.select("token").distinct(), id_col)
+    parts = bm25_weights(posting, term_stats(posting, n, id_col), avgdl, k1, b)
+    return parts.join(asked, "token").groupBy("query_id", id_col).agg(F.sum("part").alias("score"))
 
 
 def ranked(scored: DataFrame, k: int, by: list[str], score: str = "score", id_col: str = "node_id", positive: bool = False) -> DataFrame:
@@ -65,35 +92,143 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0e0), lambda s, x: s + x)
 
 
-#: Question vectors are broadcast up to this many rows; beyond it they are cut by a hash into parts of about that size.
+#: Questions of a block: what one task holds of them, and the bound of what is sent to all tasks.
 QUESTION_BLOCK = 2000
+#: Nodes of a block where there are several blocks of questions.
+NODE_BLOCK = 1 << 14
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (questions) and columns (nodes) of the k best of each row, ties at the k-th all kept."""
+    if scores.shape[1] > k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        return np.nonzero(scores >= least)
+    return np.nonzero(np.ones(scores.shape, bool))
+
 
+def _scored(node_kind: str, query_kind: str, id_col: str) -> str:
+    return f"query_id {query_kind}, `{id_col}` {node_kind}, score double"
 
-def dense(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "node_id") -> DataFrame:
-    """The k nodes of greatest inner product for each question: exact search of a stated query set, in blocks of questions.
 
-    questions: query_id, q. A block has about QUESTION_BLOCK vectors (the broadcast's bound); each block is one pass.
+def by_blocks(nodes: DataFrame, questions: DataFrame, id_col: str, score: Callable[[pa.Table, pa.Table], tuple[np.ndarray, pa.Array]], k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best nodes of each question, exact, by score(questions, nodes) -> (questions x nodes, node ids) on Arrow tables.
+
+    Up to QUESTION_BLOCK questions go to every task (that is the bound) and the nodes stay where they are. More are cut into
+    blocks by a hash, and so are the nodes; each pair of blocks is one group, so the plan doesn't grow with the questions.
+    A task passes on k nodes a question (and ties), never all pairs.
     """
-    n = questions.count()
-    blocks = max(1, -(-n // QUESTION_BLOCK))
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    schema = _scored(kinds[id_col], questions.schema["query_id"].dataType.simpleString(), id_col)
+
+    def best(asked: pa.Table, table: pa.Table) -> pa.Table:
+        scores, ids = score(asked, table)
+        q, n = _best(scores, ids, k)
+        return pa.Table.from_arrays([asked["query_id"].combine_chunks().take(pa.array(q)), ids.take(pa.array(n)), pa.array(scores[q, n], pa.float64())], ["query_id", id_col, "score"])
+
+    total = questions.count()
+    if total <= QUESTION_BLOCK:
+        asked = questions.toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and asked.num_rows:
+                    yield from best(asked, pa.Table.from_batches([batch])).to_batches()
+
+        found = nodes.mapInArrow(run, schema)
+    else:
+        node_blocks, question_blocks = max(1, -(-nodes.count() // NODE_BLOCK)), -(-total // QUESTION_BLOCK)
+        spread = lambda df, key, own, other, a, b: df.select("*", F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(b))
+        left = spread(nodes, id_col, node_blocks, question_blocks, "__n", "__q")
+        right = spread(questions, "query_id", question_blocks, node_blocks, "__q", "__n")
+        both = left.groupBy("__n", "__q").cogroup(right.groupBy("__n", "__q"))
+
+        def pair(table: pa.Table, asked: pa.Table) -> pa.Table:
+            if not table.num_rows or not asked.num_rows:
+                return pa.table({"query_id": pa.array([], question_type), id_col: pa.array([], node_type), "score": pa.array([], pa.float64())})
+            return best(asked, table)
+
+        question_type, node_type = (to_arrow_type(x) for x in (questions.schema["query_id"].dataType, nodes.schema[id_col].dataType))
+        found = both.applyInArrow(pair, schema)
+    return ranked(found, k, ["query_id"], id_col=id_col)
+
+
+def matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    """A column of equally long lists as rows of doubles."""
+    flat = pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1 if width is None else width)
+
+
+def dense(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "node_id", vector: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k nodes of greatest inner product for each question, by matrix products of blocks.
+
+    vectors: id and its vector (of that name, or the only other column); questions: query_id, q. Null vectors and ids take no part.
+    """
+    vector = vector or next(c for c in vectors.columns if c != id_col)
+
+    def score(asked: pa.Table, table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+        return matrix(asked["q"]) @ matrix(table["__v"]).T, table[id_col].combine_chunks()
+
+    rows = vectors.select(id_col, F.col(vector).alias("__v")).where(F.col(id_col).isNotNull() & F.col("__v").isNotNull())
+    return by_blocks(rows, questions.select("query_id", "q").where("q is not null"), id_col, score, k)
+
+
+def max_sim_top(nodes: DataFrame, questions: DataFrame, k: int, id_col: str = "node_id", tokens: str = "tokens") -> DataFrame:
+    """(query_id, id, score, rank): the k nodes of greatest late interaction: the sum over the question's token vectors of the best inner product with one of the node's.
+
+    nodes: id and its token matrix; questions: query_id and its token matrix `q` (array<array<float>>). A node without tokens takes no part.
+    """
+
+    def score(asked: pa.Table, table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+        def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+            lists = column.combine_chunks()
+            begins = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+            return matrix(pa.chunked_array([pc.list_flatten(lists)])), begins[:-1]
+
+        (q, q_at), (v, v_at) = flat(asked["q"]), flat(table["__t"])
+        out = np.empty((len(q_at), len(v_at)))
+        ends = [*q_at[1:].tolist(), len(q)]
+        for i, (begin, end) in enumerate(zip(q_at.tolist(), ends, strict=True)):  # a question at a time, so that memory stays small
+            out[i] = np.maximum.reduceat(q[begin:end] @ v.T, v_at, axis=1).sum(axis=0)
+        return out, table[id_col].combine_chunks()
+
+    rows = nodes.select(id_col, F.col(tokens).alias("__t")).where(F.col(id_col).isNotNull() & (F.size("__t") > 0))
+    return by_blocks(rows, questions.select("query_id", "q").where(F.size("q") > 0), id_col, score, k)
+
+
+def max_sim(tokens: DataFrame, questions: DataFrame, id_col: str = "node_id") -> DataFrame:
+    """(query_id, id, score) of all nodes: the sum over a question's token vectors of the best inner product with the node's.
+
+    tokens: id, v, a row for each token, so a node may have any number of them: a batch gives the best of each of its nodes
+    for each question token, those are combined, then summed. questions: query_id, q_token, q; they go to the tasks in
+    blocks of QUESTION_BLOCK rows by a hash.
+    """
+    kinds = [tokens.schema[id_col].dataType.simpleString(), *(questions.schema[c].dataType.simpleString() for c in ("query_id", "q_token"))]
+    blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
+    rows = tokens.select(id_col, "v").where(F.col(id_col).isNotNull() & F.col("v").isNotNull())
     found = None
     for i in range(blocks):
-        part = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = vectors.join(F.broadcast(part), F.col(id_col).isNotNull()).select("query_id", id_col, dot("v", "q").alias("score"))
-        best = ranked(scored, k, ["query_id"], id_col=id_col)
+        part = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("query_id", "q_token"), F.lit(blocks)) == i)
+        best = rows.mapInArrow(_best_tokens(part.select("query_id", "q_token", "q").toArrow(), id_col), f"`{id_col}` {kinds[0]}, query_id {kinds[1]}, q_token {kinds[2]}, best double")
         found = best if found is None else found.unionByName(best)
-    return found
+    most = found.groupBy("query_id", id_col, "q_token").agg(F.max("best").alias("best"))
+    return most.groupBy("query_id", id_col).agg(F.sum("best").alias("score"))
 
 
-def max_sim(tokens: DataFrame, questions: DataFrame, id_col: str = "node_id") -> DataFrame:
-    """(query_id, id, score): the sum over a question's token vectors of the best inner product with the node's.
+def _best_tokens(asked: pa.Table, id_col: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not asked.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table.take(pc.sort_indices(table[id_col]))
+            ids = table[id_col].combine_chunks()
+            begins = np.flatnonzero(np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])) if len(ids) > 1 else np.zeros(1, np.int64)
+            best = np.maximum.reduceat(matrix(asked["q"]) @ matrix(table["v"]).T, begins, axis=1)
+            q, n = np.indices(best.shape)
+            at = pa.array(q.reshape(-1))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(begins[n.reshape(-1)])), *(asked[c].combine_chunks().take(at) for c in ("query_id", "q_token")), pa.array(best.reshape(-1))], [id_col, "query_id", "q_token", "best"])
 
-    tokens: id, v; questions: query_id, q_token, q (few token vectors; broadcast up to QUESTION_BLOCK rows).
-    """
-    few = questions.limit(QUESTION_BLOCK + 1).count() <= QUESTION_BLOCK
-    pairs = tokens.join(F.broadcast(questions) if few else questions, F.col(id_col).isNotNull())
-    best = pairs.groupBy("query_id", id_col, "q_token").agg(F.max(dot("v", "q")).alias("best"))
-    return best.groupBy("query_id", id_col).agg(F.sum("best").alias("score"))
+    return run
 
 
 def fuse(hits: DataFrame, k: int = RRF_K, id_col: str = "node_id") -> DataFrame:
@@ -211,9 +346,37 @@ def expand_query(query: Column, synonyms: dict[str, list[str]]) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def keyword_overlap(query_tokens: Column, text: Column) -> Column:
-    """How many of the question's tokens are found within the text."""
-    return F.aggregate(query_tokens, F.lit(0).cast("long"), lambda a, t: a + F.contains(text, t).cast("long"))
+def keyword_search(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the k documents that contain most of the question's tokens anywhere in their lower-cased text (score over 0, ties to the smaller id).
+
+    questions: query_id, ts (array<string>, lower case; repeated tokens count each time). One automaton of all tokens of a block of
+    questions reads each text once, whatever the number of questions, and a batch passes on k documents a question.
+    """
+    rows = docs.select(id_col, F.lower(text_col).alias("__low")).where(F.col(id_col).isNotNull() & F.col("__low").isNotNull())
+
+    def score(asked: pa.Table, table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+        import ahocorasick
+
+        owners: dict[str, list[int]] = {}
+        for i, tokens in enumerate(asked["ts"].to_pylist()):
+            for t in filter(None, tokens or []):
+                owners.setdefault(t, []).append(i)
+        automaton = ahocorasick.Automaton()
+        lists = []
+        for t, of in owners.items():
+            automaton.add_word(t, len(lists))
+            lists.append(np.array(of, np.int64))
+        out = np.zeros((asked.num_rows, table.num_rows))
+        if lists:
+            automaton.make_automaton()
+            for j, text in enumerate(table["__low"].to_pylist()):
+                hit = list({at for _, at in automaton.iter(text)})
+                if hit:
+                    out[:, j] = np.bincount(np.concatenate([lists[at] for at in hit]), minlength=asked.num_rows)
+        return out, table[id_col].combine_chunks()
+
+    found = by_blocks(rows, questions.select("query_id", "ts"), id_col, score, k)
+    return found.where("score > 0").withColumn("score", F.col("score").cast("long"))
 
 
 def context_block(nodes: DataFrame, limit: int, by: str = "query_id", id_col: str = "node_id") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.functions.text import STOPWORDS
+from gristmill.operators.lineage import balanced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver's table; small ones of texts, which cost most for their size, over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(rows) if name in ("documents", "pages") else rows
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)

@@ -145,19 +145,6 @@ def table_to_markdown(spark, sf_dir):
     return rows.select(F.col("r_regionkey").cast("long").alias("r_regionkey"), T.markdown_table(cells).alias("markdown"))
 
 
-@query(r"""WITH c AS (SELECT p_brand, list([p_name, p_type, p_size::VARCHAR] ORDER BY p_partkey)[1:p] AS rows, p FROM part, (VALUES (1), (5), (9)) v(p) GROUP BY p_brand, p),
-x AS (SELECT p_brand, p, rows, list_filter(flatten(rows), lambda c: trim(c) <> '') AS filled FROM c),
-m AS (SELECT *, len(list_filter(filled, lambda c: regexp_full_match(c, '\p{L}{1,3}'))) / len(filled)::DOUBLE AS short, len(list_filter(rows, lambda r: len(list_filter(r, lambda c: regexp_full_match(c, '\p{L}{1,3}'))) >= 2)) / len(rows)::DOUBLE AS frag,
-  len(list_filter(filled, lambda c: regexp_matches(c, '^\p{Ll}'))) / len(filled)::DOUBLE AS low, array_to_string(filled, ' ') AS whole FROM x)
-SELECT p_brand, p::BIGINT AS n_rows, len(rows) >= 2 AND list_sum(list_transform(filled, lambda c: length(c))) >= 12 AND len(filled) >= 4 AS lined,
-  len(rows) >= 2 AND list_sum(list_transform(filled, lambda c: length(c))) >= 12 AND len(filled) >= 4 AND NOT ((short >= 0.5 AND frag >= 0.35) OR low >= 0.22 OR len(regexp_extract_all(whole, '\.\.\.')) >= 3 OR len(regexp_extract_all(whole, '\.')) / length(whole)::DOUBLE >= 0.08 OR len(rows) < 3 OR (short >= 0.4 AND frag >= 0.25)) AS aligned FROM m""")
-def looks_like_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type", F.col("p_size").cast("string").alias("s")))).alias("x"))
-    cells = F.transform(F.slice("x", 1, 9), lambda r: F.array(r["p_name"], r["p_type"], r["s"]))
-    each = rows.select("p_brand", cells.alias("c"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(9))).alias("p")).select("p_brand", F.col("p").cast("long").alias("n_rows"), L.clean_rows(F.slice("c", F.lit(1), F.col("p"))).alias("rows"))
-    return each.select("p_brand", "n_rows", L.looks_like_table(F.col("rows")).alias("lined"), L.looks_like_table(F.col("rows"), F.lit("text")).alias("aligned"))
-
-
 @query(r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part),
 c AS (SELECT p_brand, p, i // p AS table_no, list([p_name, p_type, p_size::VARCHAR] ORDER BY i) AS rows FROM n, (VALUES (1), (5), (9)) v(p) GROUP BY p_brand, p, i // p),
 x AS (SELECT p_brand, p, table_no, rows, list_filter(flatten(rows), lambda c: trim(c) <> '') AS filled FROM c),
@@ -166,8 +153,8 @@ m AS (SELECT *, len(list_filter(filled, lambda c: regexp_full_match(c, '\p{L}{1,
 l AS (SELECT *, len(rows) >= 2 AND list_sum(list_transform(filled, lambda c: length(c))) >= 12 AND len(filled) >= 4 AS lined FROM m)
 SELECT p_brand, p::BIGINT AS cut, table_no::BIGINT AS table_no, len(rows)::BIGINT AS n_rows, lined,
   lined AND NOT ((short >= 0.5 AND frag >= 0.35) OR low >= 0.22 OR len(regexp_extract_all(whole, '\.\.\.')) >= 3 OR len(regexp_extract_all(whole, '\.')) / length(whole)::DOUBLE >= 0.08 OR len(rows) < 3 OR (short >= 0.4 AND frag >= 0.25)) AS aligned FROM l""")
-def looks_like_table_all_parts(spark, sf_dir):
-    """The whole job of looks_like_table, whose SQL takes a brand's first nine parts: all parts of a brand, cut into consecutive tables of one, five and nine rows."""
+def looks_like_table(spark, sf_dir):
+    """Verdicts on tables: all parts of a brand, cut into consecutive tables of one, five and nine rows."""
     at = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")
     parts = table(spark, sf_dir, "part").withColumn("at", at).withColumn("cut", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 5, 9)))))
     row = F.struct("at", F.array(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")).alias("cells"))
@@ -236,10 +223,13 @@ def context_fallback(spark, sf_dir):
     return docs.select("doc_id", F.concat(fallback_context(F.col("source"), (F.col("doc_id") % 9).cast("int"), heads), F.lit("\n"), F.col("text")).alias("content"))
 
 
-@query("SELECT source, count(*)::BIGINT AS n, sha1(string_agg(sha1(doc_id || chr(9) || text), chr(10) ORDER BY doc_id, sha1(doc_id || chr(9) || text))) AS fingerprint FROM documents GROUP BY source")
+_HALVES = ", ".join(f"sum(('0x' || substr(h, {at}, 8))::BIGINT)::BIGINT AS s{i}" for i, at in enumerate((1, 9, 17, 25, 33)))
+
+
+@query(f"""WITH d AS (SELECT source, sha1(coalesce(doc_id::VARCHAR, '') || chr(9) || coalesce(text, '')) AS h FROM documents), s AS (SELECT source, count(*)::BIGINT AS n, {_HALVES} FROM d GROUP BY source)
+SELECT source, n, sha1(concat_ws(':', n, s0, s1, s2, s3, s4)) AS fingerprint FROM s""")
 def corpus_fingerprint(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha1(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("text"))).alias("h"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n")).alias("fingerprint"))
+    return T.group_fingerprints(table(spark, sf_dir, "documents"), ["source"], [F.col("doc_id"), F.col("text")])
 
 
 @query(f"WITH {_TURNS}, c AS (SELECT doc, page, count(*) AS chunks, count(*) FILTER (chunk_type = 'table') AS tables, count(*) FILTER (chunk_type = 'visual') AS visuals FROM turns GROUP BY ALL)\n"

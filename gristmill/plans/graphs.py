@@ -68,27 +68,17 @@ def community_summary(spark, sf_dir):
     return G.summarize_communities(nation.select("key", "community"), nation, G.accumulate_relations(_trade(spark, sf_dir)))
 
 
-_SPARSE = "edges AS (SELECT DISTINCT o_custkey AS a, (o_custkey + 1 + o_custkey % 5)::BIGINT AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 3 <> 0)"
+_SPARSE = "edges AS (SELECT DISTINCT o_custkey AS a, (o_custkey + 1 + o_custkey % 5)::BIGINT AS b FROM orders)"
 
 
 @query(f"WITH RECURSIVE {_SPARSE}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), v AS (SELECT a AS key FROM both_ways UNION SELECT c_custkey FROM customer),\n"
        "reach(key, r) USING KEY (key) AS (SELECT key, key FROM v UNION SELECT e.b, min(reach.r) FROM reach JOIN both_ways e ON e.a = reach.key JOIN recurring.reach AS old ON old.key = e.b WHERE reach.r < old.r GROUP BY e.b)\n"
        "SELECT key, r AS component FROM reach")
 def connected_components(spark, sf_dir):
-    return _linked(spark, sf_dir, "o_orderpriority = '1-URGENT' and o_custkey % 3 <> 0")
-
-
-def _linked(spark, sf_dir, which="true"):
-    """Components of the customers, linked by the orders of a condition."""
-    picked = table(spark, sf_dir, "orders").where(which).select(F.col("o_custkey").alias("source"), (F.col("o_custkey") + 1 + F.col("o_custkey") % 5).alias("target")).distinct()
-    vertices = picked.select(F.explode(F.array("source", "target")).alias("key")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
-    return G.components(vertices, picked)
-
-
-@query()
-def connected_components_all_orders(spark, sf_dir):
-    """The whole job of connected_components, whose SQL takes some orders only: links from every order."""
-    return _linked(spark, sf_dir)
+    """Components of the customers, linked by all orders."""
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_custkey") + 1 + F.col("o_custkey") % 5).alias("target")).distinct()
+    vertices = links.select(F.explode(F.array("source", "target")).alias("key")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    return G.components(vertices, links)
 
 
 @query()

@@ -54,15 +54,7 @@ def term_stats(spark, sf_dir):
 def dense_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n = asked.count()
-    blocks = max(1, -(-n // R.QUESTION_BLOCK))
-    scored = None
-    for i in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        now = vectors.join(F.broadcast(part), F.col("vec_id").isNotNull()).select("query_id", "vec_id", F.round(R.dot("embedding", "q"), 5).alias("score"))
-        now = R.ranked(now, 40, ["query_id"], id_col="vec_id")
-        scored = now if scored is None else scored.unionByName(now)
-    return scored.withColumn("rank", F.col("rank").cast("long"))
+    return R.dense(vectors, asked, 40, "vec_id", "embedding").withColumns({"score": F.round("score", 5), "rank": F.col("rank").cast("long")})
 
 
 @query("WITH sims AS (SELECT q.label AS query_id, v.label AS node_id, q.vec_id AS q_token, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 GROUP BY ALL)\n"
@@ -158,32 +150,16 @@ def prompt_contexts(spark, sf_dir):
     return R.context_block(top.join(docs.select("doc_id", "text"), "doc_id"), 5, id_col="doc_id").select(F.col("query_id").alias("item_id"), "contexts")
 
 
-@query(r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda t: length(t) > 5)) AS ts FROM benchmark),
+@query(r"""WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS ts FROM benchmark),
 s AS (SELECT item_id, doc_id, len(list_filter(ts, lambda t: contains(lower(d.text), t))) AS score FROM q, documents d)
 SELECT item_id, doc_id, score::BIGINT AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def keyword_overlap_search(spark, sf_dir):
-    return _overlaps(spark, sf_dir, F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda t: F.char_length(t) > 5)))
-
-
-def _overlaps(spark, sf_dir, question_tokens):
-    """The five documents that contain most of the tokens of each question."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), question_tokens.alias("ts"))
-    few = asked.limit(R.QUESTION_BLOCK + 1).count() <= R.QUESTION_BLOCK
-    low = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    pairs = low.join(F.broadcast(asked) if few else asked, F.col("doc_id").isNotNull())
-    scored = pairs.select("query_id", "doc_id", R.keyword_overlap(F.col("ts"), F.col("low")).alias("score"))
-    best = R.ranked(scored, 5, ["query_id"], id_col="doc_id", positive=True)
+    """The five documents that contain most of the tokens of each question; short and repeated tokens count too."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda t: t != "").alias("ts"))
+    best = R.keyword_search(table(spark, sf_dir, "documents"), asked, 5)
     return best.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(r"""WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS ts FROM benchmark),
-s AS (SELECT item_id, doc_id, len(list_filter(ts, lambda t: contains(lower(d.text), t))) AS score FROM q, documents d)
-SELECT item_id, doc_id, score::BIGINT AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
-def keyword_overlap_search_all_tokens(spark, sf_dir):
-    """The whole job of keyword_overlap_search, whose SQL takes long tokens only: every token of the question counts, short and repeated ones too."""
-    return _overlaps(spark, sf_dir, F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda t: t != ""))
-
-
 @query(f"WITH {BM25_SQL}, a AS (SELECT doc_id, round(sum(part), 6) AS score FROM part WHERE token IN ({_LIST(TERMS)}) GROUP BY doc_id),\n"
        "top AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a), rel AS (SELECT doc_id FROM labels WHERE quality = 1)\n"
        "SELECT round(count(*) FILTER (rank <= 50) / 50e0, 6) AS precision, round(count(*) FILTER (rank <= 50) / (SELECT count(*) FROM rel)::DOUBLE, 6) AS recall, round(1e0 / min(rank), 6) AS reciprocal_rank FROM top JOIN rel USING (doc_id)")

@@ -31,7 +31,7 @@ def test_every_order_links_its_customers(spark, tmp_path):
     spark.createDataFrame([(k,) for k in [*range(1, 401), 900]], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     edges = {(k, k + 1 + k % 5) for _, k, _ in orders}
     expected = smallest_of_component({900, *range(1, 401), *(x for e in edges for x in e)}, edges)
-    got = [tuple(r) for r in catalog.queries()["connected_components_all_orders"](spark, str(tmp_path)).select("key", "component").collect()]
+    got = [tuple(r) for r in catalog.queries()["connected_components"](spark, str(tmp_path)).select("key", "component").collect()]
     assert set(got) == expected and len(got) == len(expected)
 
 
@@ -62,14 +62,14 @@ def test_every_token_of_a_question_counts(spark, tmp_path):
     for q, text in questions:
         scores = [(-sum(t in (d or "").lower() for t in text.lower().split()), i) for i, d in docs]
         expected |= {(q, i, -s, n) for n, (s, i) in enumerate(sorted(x for x in scores if x[0])[:5], 1)}
-    got = catalog.queries()["keyword_overlap_search_all_tokens"](spark, str(tmp_path)).select("item_id", "doc_id", "score", "rank").collect()
+    got = catalog.queries()["keyword_overlap_search"](spark, str(tmp_path)).select("item_id", "doc_id", "score", "rank").collect()
     assert {tuple(r) for r in got} == expected and (1, 3, 1, 2) in expected
 
 
 def test_every_part_is_in_a_table_of_each_size(spark, tmp_path):
     parts = [(i, "b" if i % 3 else "a", "lower words" if i > 40 else "Some Name", "TYPE OF PART", i) for i in range(64)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    got = catalog.queries()["looks_like_table_all_parts"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["looks_like_table"](spark, str(tmp_path)).collect()
     for brand, n in (("a", 22), ("b", 42)):
         for cut in (1, 5, 9):
             sizes = [r["n_rows"] for r in sorted(got, key=lambda r: r["table_no"]) if (r["p_brand"], r["cut"]) == (brand, cut)]
