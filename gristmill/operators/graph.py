@@ -37,7 +37,7 @@ def evidence() -> Column:
 def accumulate_entities(mentions: DataFrame, key: str = "key", seq: str = "seq", chunk: str = "chunk_id") -> DataFrame:
     """(key, name, aliases, type, mention_count): first name, all names, commonest type (ties: first seen), distinct chunks."""
     types = mentions.groupBy(key, "type").agg(F.count("*").alias("n"), F.min(seq).alias("first"))
-    mode = types.groupBy(key).agg(F.max_by("type", F.struct(F.col("n"), -F.col("first"))).alias("type"))
+    mode = types.groupBy(key).agg(F.min_by("type", F.struct(-F.col("n"), F.col("first"))).alias("type"))
     base = mentions.groupBy(key).agg(F.min_by("name", seq).alias("name"), F.array_sort(F.collect_set("name")).alias("aliases"), F.count_distinct(chunk).alias("mention_count"))
     return base.join(mode, key)
 
