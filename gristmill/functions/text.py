@@ -7,7 +7,7 @@ The normalisers are chains of JVM functions; only repair of mis-decoded text and
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,13 +125,22 @@ def _repair(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else _repaired(t))
 
 
-def repair_mojibake(text: Column) -> Column:
-    """Text that was decoded with a wrong code page, decoded rightly; the best of the candidates of two rounds. Rows without a tell-tale letter pair stay as they are."""
-    return F.when(text.rlike("[ÃÂÄÆáâ][\u0080-¿Œ-™]"), _repair(text)).otherwise(text)
+@F.pandas_udf(StringType())
+def _repair_index(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: None if t is None else _repaired(t, 4, 30))
+
+
+def repair_mojibake(text: Column, index: bool = False) -> Column:
+    """Text that was decoded with a wrong code page, decoded rightly; the best of the candidates of two rounds. Rows without a tell-tale letter pair stay as they are.
+
+    index: the weights of the index normaliser, which counts odd letters and replacement characters more.
+    """
+    return F.when(text.rlike("[ÃÂÄÆáâ][\u0080-¿Œ-™]"), (_repair_index if index else _repair)(text)).otherwise(text)
 
 
-def tokens(text: Column) -> Column:
-    """Index terms: numbers and runs of letters, folded, and the accented form too where it differs. One-letter terms and stopwords are left out."""
+def tokens(text: Column, segment: Callable[[Column], Column] | None = None) -> Column:
+    """Index terms; segment (say, a pandas UDF of a word segmenter) may join compounds with _ first. They are: numbers and runs of letters, folded, and the accented form too where it differs. One-letter terms and stopwords are left out."""
     extract = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
     keep = lambda f: ((F.char_length(f) > 1) | f.rlike("^[0-9]+$")) & ~f.isin(*STOPWORDS)
 
@@ -144,7 +153,8 @@ def tokens(text: Column) -> Column:
         return F.when(normal.rlike(r"[^\x00-\x7F]"), folded(F.regexp_replace(normal, _MARKS, ""))).otherwise(F.filter(extract(normal), keep))
 
     # transform() over one element binds the normalised text, so it is worked out once
-    return F.transform(F.array(normalize_index(text)), of)[0]
+    normal = normalize_index(text)
+    return F.transform(F.array(normal if segment is None else segment(normal)), of)[0]
 
 
 def count_words(text: Column) -> Column:
@@ -161,6 +171,18 @@ def last_words(text: Column, n: int) -> Column:
     return F.array_join(F.when(F.size(words) > n, F.slice(words, -n, n)).otherwise(words), " ") if n > 0 else F.lit("")
 
 
+def join_pages(pages: Column) -> Column:
+    """Page numbers as one text; none: a question mark."""
+    known = F.transform(F.filter(F.coalesce(pages, F.array().cast("array<int>")), lambda p: p.isNotNull()), lambda p: p.cast("string"))
+    return F.when(F.size(known) > 0, F.array_join(known, ", ")).otherwise("?")
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: cut after . ! ? ; : before a capital or a digit; blank ones are left out."""
+    parts = F.split(F.regexp_replace(text, r"([.!?;:])\s+([A-ZÀ-Ỵ0-9])", "$1\u0001$2"), "\u0001", -1)
+    return F.filter(parts, lambda s: F.trim(s) != "")
+
+
 def stable_id(*parts: Column, prefix: str = "", separator: str = "|") -> Column:
     """16 hex digits of the SHA-1 of the joined parts. A null part counts as the word None."""
     joined = F.concat_ws(separator, *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))

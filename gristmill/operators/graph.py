@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import canonical_name, snippet, squeeze, stable_id
-from gristmill.operators.lineage import cut
+from gristmill.operators.lineage import cut, numbered
 
 ENTITY_TYPES = ("ANATOMY", "DISEASE", "DRUG", "OTHER", "PROCEDURE", "SYMPTOM", "TEST")
 
@@ -163,7 +163,7 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0)
 def number_communities(members: DataFrame) -> DataFrame:
     """(community, community_id, size): numbered by size, then smallest member."""
     sizes = members.groupBy("community").agg(F.count("*").alias("size"), F.min("key").alias("first"))
-    return sizes.withColumn("n", F.row_number().over(Window.orderBy(F.desc("size"), "first"))).select("community", F.concat(F.lit("community:"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("community_id"), "size")
+    return numbered(sizes, [F.desc("size"), "first"]).select("community", F.concat(F.lit("community:"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("community_id"), "size")
 
 
 def summarize_communities(members: DataFrame, names: DataFrame, relations: DataFrame, top: int = 12) -> DataFrame:

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Scans of fewer bytes are spread over all cores before heavy work: a small file may be one row group, hence one task.
 SMALL_SCAN = 32 << 20
@@ -46,6 +47,20 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """df with row numbers from 1 over all rows in an order, without gathering them: ranges of the order are numbered apart and moved up by the sizes of those before (a number a partition goes to the driver)."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect()):
+        offsets += [F.lit(part), F.lit(before).cast("long")]
+        before += n
+    if not offsets:
+        return placed.withColumn(name, F.lit(0).cast("long")).drop("__part")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.withColumn(name, own + F.element_at(F.create_map(*offsets), F.col("__part"))).drop("__part")
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder's path in the shared folder of cut(), for tables that a job writes and reads again; it goes when the driver's Python ends."""
     shared_folder(spark)

@@ -177,12 +177,17 @@ def nearest_parent(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(up.withColumnRenamed("child", "node_id"), "node_id", "left").select("node_id", F.coalesce("parent", F.lit("NO_PARENT")).alias("parent"))
 
 
+def inspect(nodes: DataFrame) -> DataFrame:
+    """(depth, nodes, children, matched): nodes and children of each depth, and the share of nodes that have a parent."""
+    up = nearest_parent(nodes)
+    rows = nodes.select("node_id", "depth", F.size("child_node_ids").cast("long").alias("children")).join(up, "node_id")
+    return rows.groupBy("depth").agg(F.count("*").alias("nodes"), F.sum("children").alias("children"), F.avg((F.col("parent") != "NO_PARENT").cast("double")).alias("matched"))
+
+
 def parent_chains(links: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
     """(node_id, path): every path to a root from the start nodes, without going in circles."""
-    links.createOrReplaceTempView("__links")
-    start.createOrReplaceTempView("__start")
     return links.sparkSession.sql(f"""
         WITH RECURSIVE walk(node_id, at, path, n) AS (
-          SELECT node_id, node_id, array(node_id), 0 FROM __start
-          UNION ALL SELECT w.node_id, l.parent, concat(w.path, array(l.parent)), n + 1 FROM walk w JOIN __links l ON l.child = w.at WHERE NOT array_contains(w.path, l.parent) AND n < {depth})
-        SELECT node_id, path FROM walk LEFT ANTI JOIN __links ON __links.child = walk.at""")
+          SELECT node_id, node_id, array(node_id), 0 FROM {{start}}
+          UNION ALL SELECT w.node_id, l.parent, concat(w.path, array(l.parent)), n + 1 FROM walk w JOIN {{links}} l ON l.child = w.at WHERE NOT array_contains(w.path, l.parent) AND n < {depth})
+        SELECT node_id, path FROM walk LEFT ANTI JOIN {{links}} up ON up.child = walk.at""", links=links, start=start)

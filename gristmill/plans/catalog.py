@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.plans import base, corpus, graphs, knowledge, retrieval, search  # noqa: F401  (they register their queries)
+from gristmill.plans import base, corpus, graphs, jobs, knowledge, retrieval, search  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, base.Query]:

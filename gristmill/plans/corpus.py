@@ -9,6 +9,7 @@ from gristmill.functions import layout as L
 from gristmill.functions import text as T
 from gristmill.operators import chunking as C
 from gristmill.operators import evaluation as E
+from gristmill.operators.lineage import scratch_path
 from gristmill.plans.base import query, table, terms_sql
 
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -53,8 +54,7 @@ def footer_removal(spark, sf_dir):
 
 @query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?;:])\s+([A-ZÀ-Ỵ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> ''))::BIGINT AS sentences FROM documents")
 def sentence_split_count(spark, sf_dir):
-    parts = F.split(F.regexp_replace("text", r"([.!?;:])\s+([A-ZÀ-Ỵ0-9])", "$1\u0001$2"), "\u0001", -1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(parts, lambda s: F.trim(s) != "")).cast("long").alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
 @query(f"WITH {terms_sql('documents', 'doc_id')} SELECT d.doc_id, count(token)::BIGINT AS n_terms, count(DISTINCT token)::BIGINT AS n_distinct, coalesce(min(token), '') AS first, coalesce(max(token), '') AS last FROM documents d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id")
@@ -103,8 +103,11 @@ def fallback_chunks(spark, sf_dir):
 
 @query(f"SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM (SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS k FROM documents) WHERE k <> '' GROUP BY k")
 def dedup_signature(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1(T.squeeze(T.fold(F.col("text")))).alias("key"), (T.squeeze(F.col("text")) != "").alias("some"))
-    return docs.where("some").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = C.distinct_by_signature(docs, F.col("text"), [], "doc_id")
+    keyed = lambda rows: rows.select("doc_id", F.sha1(T.squeeze(T.fold(F.col("text")))).alias("key"))
+    copies = keyed(docs).groupBy("key").agg(F.count("*").alias("copies"))
+    return keyed(first).join(copies, "key").select("doc_id", "copies")
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT doc_id, list_filter(string_split(replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x) <> '') AS p FROM documents)),
@@ -210,8 +213,12 @@ def category_validation(spark, sf_dir):
 
 @query("SELECT doc_id, 'cached' AS state FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'pending' FROM documents ANTI JOIN labels USING (doc_id)")
 def cache_pending(spark, sf_dir):
-    docs, cache = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(cache, "doc_id", "left_semi").withColumn("state", F.lit("cached")).unionByName(docs.join(cache, "doc_id", "left_anti").withColumn("state", F.lit("pending")))
+    from gristmill.sources.store import Table
+
+    docs, known = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    cache = Table(spark, scratch_path(spark), "doc_id", "doc_id long, quality int")
+    cache.put(known)
+    return docs.join(cache.read(), "doc_id", "left_semi").withColumn("state", F.lit("cached")).unionByName(cache.pending(docs).withColumn("state", F.lit("pending")))
 
 
 @query("SELECT doc_id, '[From document ' || source || ', page ' || (doc_id % 9) || CASE WHEN lang = 'en' THEN '' ELSE ', section ' || lang END || '.]' || chr(10) || text AS content FROM documents")

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import snippet, squeeze, tokens
 from gristmill.operators import retrieval as R
+from gristmill.operators.lineage import cut
 from gristmill.plans.base import BM25_SQL, query, table, terms_sql
 
 TERMS = ["ontion", "the", "thering", "eren", "que"]
 MORE = ["and", "tion", "der", "of"]
 
 
-def _score(spark: SparkSession, sf_dir: str, terms: list[str], query_id: int = 0) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    asked = spark.range(1).select(F.lit(query_id).cast("long").alias("query_id"), F.explode(F.array(*map(F.lit, terms))).alias("token"))
-    return R.bm25(docs, tokens(F.col("text")), asked, "doc_id")
+def _score(spark: SparkSession, sf_dir: str, *questions: list[str]) -> DataFrame:
+    """BM25 scores of questions (numbered from 0) given by their terms, in one pass over the texts."""
+    asked = spark.createDataFrame([(i, t) for i, terms in enumerate(questions) for t in terms], "query_id long, token string")
+    return R.bm25(table(spark, sf_dir, "documents"), tokens(F.col("text")), asked, "doc_id")
 
 
 _LIST = lambda ts: ", ".join(f"'{t}'" for t in ts)
@@ -72,27 +73,31 @@ b AS (SELECT doc_id, round(sum(part), 6) AS score FROM part WHERE token IN ({_LI
 ra AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a), rb AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b)"""
 
 
-def _hits(scored: DataFrame, k: int, channel: str, variant: str, weight: float) -> DataFrame:
-    scored = scored.withColumn("score", F.round("score", 6))
-    best = R.ranked(scored, k, ["query_id"], id_col="doc_id")
-    return best.select("query_id", "doc_id", F.lit(channel).alias("channel"), F.lit(variant).alias("variant"), "rank", "score", F.lit(weight).alias("weight"))
+def _hits(scored: DataFrame, question: int, k: int, variant: str, weight: float) -> DataFrame:
+    best = R.ranked(scored.where(F.col("query_id") == question), k, ["query_id"], id_col="doc_id")
+    return best.select(F.lit(0).alias("query_id"), "doc_id", F.lit("bm25").alias("channel"), F.lit(variant).alias("variant"), "rank", "score", F.lit(weight).alias("weight"))
 
 
-@query(_TWO + "\nSELECT doc_id, round(sum(c), 9) AS score, max(br)::BIGINT AS bm25_rank, max(dr)::BIGINT AS dense_rank FROM (SELECT doc_id, 2e0 / (60 + rank) AS c, rank AS br, NULL AS dr FROM ra WHERE rank <= 30 UNION ALL SELECT doc_id, 5e0 / (60 + rank), NULL, rank FROM rb WHERE rank <= 60) GROUP BY doc_id")
+@query(_TWO + "\nSELECT doc_id, round(sum(c), 9) AS score, max(br)::BIGINT AS first_rank, max(dr)::BIGINT AS second_rank FROM (SELECT doc_id, 2e0 / (60 + rank) AS c, rank AS br, NULL AS dr FROM ra WHERE rank <= 30 UNION ALL SELECT doc_id, 5e0 / (60 + rank), NULL, rank FROM rb WHERE rank <= 60) GROUP BY doc_id")
 def rrf_two_channel(spark, sf_dir):
-    hits = _hits(_score(spark, sf_dir, TERMS), 30, "bm25", "original", 2.0).unionByName(_hits(_score(spark, sf_dir, MORE), 60, "dense", "original", 5.0))
-    fused = R.fuse(hits, id_col="doc_id")
-    rank = lambda c: F.col("matches")[f"{c}:original"]["rank"].cast("long")
-    return fused.select("doc_id", F.round("score", 9).alias("score"), rank("bm25").alias("bm25_rank"), rank("dense").alias("dense_rank"))
+    """Two ranked lists fused with the weights 2 and 5. Both are BM25 lists; hybrid_search fuses BM25 with dense hits."""
+    scored = cut(_score(spark, sf_dir, TERMS, MORE).withColumn("score", F.round("score", 6)))
+    fused = R.fuse(_hits(scored, 0, 30, "first", 2.0).unionByName(_hits(scored, 1, 60, "second", 5.0)), id_col="doc_id")
+    rank = lambda c: F.col("matches")[f"bm25:{c}"]["rank"].cast("long")
+    return fused.select("doc_id", F.round("score", 9).alias("score"), rank("first").alias("first_rank"), rank("second").alias("second_rank"))
 
 
 @query(_TWO + "\nSELECT doc_id, round(sum(c), 9) AS score, string_agg(key || '=' || rank, ' ' ORDER BY key) AS matches FROM (SELECT doc_id, 2e0 / (60 + rank) AS c, 'bm25:original' AS key, rank FROM ra WHERE rank <= 30 UNION ALL SELECT doc_id, 2e0 * 0.85e0 / (60 + rank), 'bm25:multi_1', rank FROM rb WHERE rank <= 30\n"
-       "UNION ALL SELECT doc_id, 3e0 / (60 + rank), 'colbert:original', rank FROM ra WHERE rank <= 30 UNION ALL SELECT doc_id, 5e0 * 1.1e0 / (60 + rank), 'dense:hyde', rank FROM rb WHERE rank <= 40) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30")
+       "UNION ALL SELECT doc_id, 2e0 * 0.9e0 / (60 + rank), 'bm25:sub_1', rank FROM ra WHERE rank <= 20 UNION ALL SELECT doc_id, 2e0 * 0.65e0 / (60 + rank), 'bm25:step_back', rank FROM rb WHERE rank <= 40) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30")
 def rrf_ensemble_variants(spark, sf_dir):
-    w, v = R.CHANNEL_WEIGHTS, R.VARIANT_WEIGHTS
-    a, b = _score(spark, sf_dir, TERMS), _score(spark, sf_dir, MORE)
-    hits = _hits(a, 30, "bm25", "original", w["bm25"] * v["original"]).unionByName(_hits(b, 30, "bm25", "multi_1", w["bm25"] * v["multi"]))
-    hits = hits.unionByName(_hits(a, 30, "colbert", "original", w["colbert"])).unionByName(_hits(b, 40, "dense", "hyde", w["dense"] * v["hyde"]))
+    """BM25 lists of four variants fused by the variants' weights; ensemble_search has three channels."""
+    w, v = R.CHANNEL_WEIGHTS["bm25"], R.VARIANT_WEIGHTS
+    scored = cut(_score(spark, sf_dir, TERMS, MORE).withColumn("score", F.round("score", 6)))
+    lists = [(0, 30, "original", "original"), (1, 30, "multi_1", "multi"), (0, 20, "sub_1", "sub"), (1, 40, "step_back", "step_back")]
+    hits = None
+    for question, k, name, kind in lists:
+        part = _hits(scored, question, k, name, w * v[kind])
+        hits = part if hits is None else hits.unionByName(part)
     fused = R.fuse(hits, id_col="doc_id").withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(R.CANDIDATES)
     shown = F.array_join(F.transform(F.map_entries("matches"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["rank"].cast("string"))), " ")
     return fused.select("doc_id", "score", shown.alias("matches"))
@@ -114,11 +119,14 @@ def rerank_tail_append(spark, sf_dir):
     return out.select("doc_id", F.col("prior_rank").cast("long").alias("prior_rank"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(_TWO.replace("WITH ", "WITH RECURSIVE ", 1) + """, listed AS (SELECT doc_id, rank, len(regexp_extract_all(text, '\\S+'))::BIGINT AS tokens FROM ra JOIN documents USING (doc_id) WHERE rank <= 30),
+walk(rank, doc_id, tokens, used, taken) AS (SELECT rank, doc_id, tokens, tokens, true FROM listed WHERE rank = 1 UNION ALL
+  SELECT l.rank, l.doc_id, l.tokens, used + CASE WHEN used < 5000 AND used + l.tokens <= 5000 THEN l.tokens ELSE 0 END, used < 5000 AND used + l.tokens <= 5000 FROM walk w JOIN listed l ON l.rank = w.rank + 1)
+SELECT 0::BIGINT AS query_id, doc_id, rank::BIGINT AS rank, tokens FROM walk WHERE taken""")
 def token_budget_pack(spark, sf_dir):
     ranked = R.ranked(_score(spark, sf_dir, TERMS).withColumn("score", F.round("score", 6)), 30, ["query_id"], id_col="doc_id")
     lengths = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?U)\S+")).cast("long").alias("tokens"))
-    return R.pack_budget(lengths.join(F.broadcast(ranked), "doc_id").select("query_id", "doc_id", "rank", "tokens"), 5000, id_col="doc_id")
+    return R.pack_budget(lengths.join(F.broadcast(ranked), "doc_id").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "tokens"), 5000, id_col="doc_id")
 
 
 @query(r"""WITH b AS (SELECT item_id, text, split_part(text, '.', 1) AS first FROM benchmark),

@@ -18,7 +18,7 @@ EXTRACTION = "chunk_id string, doc_name string, page_number int, chunk_type stri
 
 def find_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of PDF files, one or all under a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(path).select("path", "length", "content").orderBy("path")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNK, glob: str = "*.jsonl") -> DataFrame:
@@ -55,6 +55,14 @@ def load_source_chunks(chunks: DataFrame, include_visual: bool = False, least: i
     return rows.select(F.coalesce("id", stable_id(F.col("doc_name"), F.col("page_number"), text)).alias("chunk_id"), F.coalesce("doc_name", F.lit("document")).alias("doc_name"), F.coalesce("page_number", F.lit(0)).alias("page_number"), F.coalesce("chunk_type", F.lit("text")).alias("chunk_type"), F.substring(text, 1, most).alias("content")).where(F.char_length("content") >= least)
 
 
+def load_evaluation_chunks(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """Chunks for evaluation sets; none is an error."""
+    rows = read_jsonl(spark, path, glob=glob).where("_corrupt is null")
+    if not rows.select("content", "doc_name").limit(1).collect():
+        raise ValueError(f"no chunks under {path}")
+    return rows.drop("_corrupt")
+
+
 def page_limit(pages: DataFrame, most: int | None) -> DataFrame:
     return pages if most is None else pages.where(F.col("page_number") <= most)
 

@@ -85,5 +85,5 @@ class VectorStore(Table):
 
 
 def manifest(counts: DataFrame, config: dict) -> str:
-    """A JSON manifest of per-kind counts (kind, n; few rows)."""
-    return json.dumps({"config": config, "counts": {r["kind"]: r["n"] for r in counts.orderBy("kind").limit(1000).collect()}}, sort_keys=True)
+    """A JSON manifest of all per-kind counts (kind, n): a driver's document, so kinds are names of a schema, not of data."""
+    return json.dumps({"config": config, "counts": {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).orderBy("kind").collect()}}, sort_keys=True)

@@ -24,9 +24,15 @@ def ingest(chunks: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, time: str, kind: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    """(start, kind, n) of a stream, with a watermark for late rows."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+def windowed_counts(events: DataFrame, time: str, kind: str, window: str = "10 minutes", late: str = "30 minutes", slide: str | None = None) -> DataFrame:
+    """(start, kind, n) of a stream (or a table), with a watermark for late rows; tumbling windows, or sliding ones."""
+    return events.withWatermark(time, late).groupBy(F.window(time, window, slide or window), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+
+
+def session_counts(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
+    """(key, start, end, n): runs of a key's events without a pause of `gap`; end is the last event plus the gap."""
+    out = events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def distinct_within(events: DataFrame, key: list[str], time: str, late: str = "30 minutes") -> DataFrame:
