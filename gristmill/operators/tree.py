@@ -55,6 +55,7 @@ def mixture(nodes: DataFrame, options: TreeOptions) -> tuple[DataFrame, int, dic
             scores[k] = -2 * model.summary.logLikelihood + free * math.log(n)
         if best is None or scores[k] < best[0]:
             best = (scores[k], k, model)
+    rows.unpersist()
     if best[2] is None:
         return rows.withColumn("probability", array_to_vector(F.array(F.lit(1e0)))), 1, scores
     return best[2].transform(rows).drop("prediction"), best[1], scores
@@ -89,7 +90,7 @@ def cluster_level(nodes: DataFrame, options: TreeOptions, id_col: str = "node_id
     if n <= 3:
         return nodes.select(id_col, F.lit(0).alias("cluster"))
     scored, _, _ = mixture(reduce_vectors(nodes, options.components), options)
-    found = memberships(scored, options, id_col).persist()
+    found = cut(memberships(scored, options, id_col))
     sizes = found.join(nodes.select(id_col, "tokens"), id_col).groupBy("cluster").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
     large = [r["cluster"] for r in sizes if r["t"] > options.max_cluster_tokens and r["n"] >= 2 * options.min_cluster and len(sizes) > 1]
     if not large:
@@ -135,7 +136,7 @@ def build_tree(leaves: DataFrame, options: TreeOptions | None = None) -> DataFra
     leaves: node_id string, text, v.
     """
     options = options or TreeOptions()
-    level = leaves.select("node_id", "text", F.col("v").cast("array<double>").alias("v"), estimate_tokens(F.col("text")).alias("tokens")).persist()
+    level = cut(leaves.select("node_id", "text", F.col("v").cast("array<double>").alias("v"), estimate_tokens(F.col("text")).alias("tokens")))
     every = level.withColumns({"depth": F.lit(0), "child_node_ids": F.array().cast("array<string>"), "is_leaf": F.lit(True)})
     for depth in range(1, options.max_depth + 2):
         n = level.limit(3).count()
