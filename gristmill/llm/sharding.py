@@ -40,24 +40,30 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def _placer(shards: int):
     @F.pandas_udf("struct<shard int, grown_shard int, sub int>")
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for ids in batches:
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ids, spread in batches:
             h = mix(ids.to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"shard": jump(h, shards).astype(np.int32), "grown_shard": jump(h, shards + 1).astype(np.int32), "sub": (h & np.uint64(SUB_BUCKETS - 1)).astype(np.int32)})
+            sub = (h + spread.to_numpy(np.int64).view(np.uint64)) & np.uint64(SUB_BUCKETS - 1)
+            yield pd.DataFrame({"shard": jump(h, shards).astype(np.int32), "grown_shard": jump(h, shards + 1).astype(np.int32), "sub": sub.astype(np.int32)})
 
     return place
 
 
-def shard_rows(docs: DataFrame, key: str | Column = "doc_id", shards: int = 16, order: list[Column] | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, key: str | Column = "doc_id", shards: int = 16, order: list[Column] | None = None, spread: Column | None = None) -> DataFrame:
     """docs with shard, slot (from 0, gapless in the shard) and grown_shard (the shard if there were one more).
 
     key is an integer, or anything else, of which xxhash64 is then the key. A null key counts as 0. order ranks the
     rows of a sub-bucket (default: the key, then the text if there is one). Rows equal in all of it get their slots in either order.
+    spread (a long; default: a hash of the text if there is one) parts rows of one key, a null key's among them, over the sub-buckets, so
+    a key that a third of all rows share is ranked in many tasks; only rows equal in key and spread are ranked in one, by a
+    sort that spills. Whole texts are hashed, however long; an empty table gives an empty one.
     """
     key = F.col(key) if isinstance(key, str) else key
     kind = docs.select(key.alias("k")).schema["k"].dataType.simpleString()
     value = F.coalesce(key.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key), F.lit(0).cast("long"))
-    placed = docs.withColumn("__at", _placer(shards)(value))
+    if spread is None:
+        spread = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    placed = docs.withColumn("__at", _placer(shards)(value, spread.cast("long")))
     counts = placed.groupBy(F.col("__at.shard").alias("__shard"), F.col("__at.sub").alias("__sub")).count()
     before = Window.partitionBy("__shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__shard", "__sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
