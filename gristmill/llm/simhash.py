@@ -3,6 +3,8 @@
 The 64 bits are cut into BLOCKS parts. If two fingerprints differ in at most `distance` bits, at most that many parts
 differ, so they agree in BLOCKS - distance parts or more: grouping by every choice of that many parts loses no pair
 (6 parts, distance 4: 15 choices of two parts, about 21 bits each). Equal fingerprints are one node from the start.
+With more fingerprints there are more parts, hence longer keys (7: 35 choices of 27 bits, 8: 70 of 32), so that a key
+that is met by chance stays with a few fingerprints; any number of parts over the distance finds the same pairs.
 
 Inside a group only links of a spanning forest leave a task, found by exact Hamming distances in numpy, so a group of
 n close fingerprints gives n - 1 links, not n^2 / 2. A group of more than PART members is cut into parts, and
@@ -21,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import LONG_MAX, checkpointed, lookup, materialise
+from gristmill.llm._common import LONG_MAX, WHOLE, checkpointed, lookup, materialise
 from gristmill.llm._words import texts
 from gristmill.llm.components import connected_components
 
-BLOCKS, PART = 6, 4096
+#: Least number of parts; fingerprints that share a key by chance, at most; members of a group verified in one task.
+BLOCKS, BY_CHANCE, PART = 6, 32, 4096
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -89,10 +92,21 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, distance: int) -> list[tupl
     return links
 
 
-def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
+def blocks_for(fingerprints: int, distance: int) -> int:
+    """The number of parts for so many different fingerprints."""
+    blocks = max(BLOCKS, distance + 1)
+    while blocks < 16 and fingerprints >> (64 * (blocks - distance) // blocks) > BY_CHANCE:
+        blocks += 1
+    return blocks
+
+
+def near_links(nodes: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """(a, b): links between the nodes (node, fp; different fps) that join all within the distance; not all pairs."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    masks = [sum(((1 << edges[p + 1]) - 1) ^ ((1 << edges[p]) - 1) for p in parts) for parts in combinations(range(BLOCKS), BLOCKS - distance)]
+    if not 0 <= distance < 16:
+        raise ValueError("distance must be from 0 to 15")
+    blocks = blocks or blocks_for(nodes.count(), distance)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << edges[p + 1]) - 1) ^ ((1 << edges[p]) - 1) for p in parts) for parts in combinations(range(blocks), blocks - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("node", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "key"))
     # the window sorts and spills; nothing of a group is gathered before oversized ones are cut
@@ -152,10 +166,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id): the fingerprint and the smallest id reachable over links of at most `distance` bits.
 
     Documents without words have fingerprint 0 and are linked like any other. A null id counts as the largest number.
-    Repeated rows share a component. Further columns are left; an empty table gives an empty one.
+    Ids are whole numbers, any other kind is an error. Whole texts count, however long. Repeated rows share a component. Further columns are left; an empty table gives an empty one.
     """
-    if not 0 <= distance < BLOCKS:
-        raise ValueError(f"distance must be from 0 to {BLOCKS - 1}")
+    if docs.schema[id_col].dataType.simpleString() not in WHOLE:
+        raise TypeError(f"{id_col} must be a whole number")
     prints = materialise(fingerprints(docs, id_col, text_col, shingle))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX))).alias("node"), F.count("*").alias("n")))
     found = connected_components(near_links(nodes.select("node", "fp"), distance))
