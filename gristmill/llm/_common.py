@@ -15,6 +15,8 @@ WS = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONG_MAX = (1 << 63) - 1
+#: Kinds of ids that are compared as numbers.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 #: Keys that are split off as hot and broadcast. Every other key then holds at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import LONG_MAX, LOWER, UPPER, WS, lookup, materialise
+from gristmill.llm._common import LONG_MAX, LOWER, UPPER, WHOLE, WS, lookup, materialise
 
 
 def line_key(line: Column) -> Column:
@@ -24,9 +24,11 @@ def line_key(line: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """docs with its text less the repeated lines, and n_lines, n_dropped (long).
 
-    Null or empty text: one empty line. A null id counts as one document, larger than any other. Rows that share an
+    Ids are whole numbers, any other kind is an error. Null or empty text: one empty line. A null id counts as one document, larger than any other. Rows that share an
     id are one document: none of its lines is dropped because of another of its rows. An empty table gives an empty one; further columns stay.
     """
+    if docs.schema[id_col].dataType.simpleString() not in WHOLE:
+        raise TypeError(f"{id_col} must be a whole number")
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX))
     raw = docs.select(row.alias("row"), own.alias("own"), F.posexplode(F.split(F.translate(F.col(text_col), UPPER, LOWER), "\n", -1)).alias("pos", "line"))

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators.lineage import balanced
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver's table; a very small one, which may be one row group, over all cores."""
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = shard_rows(docs, "doc_id", 16, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    rows = shard_rows(docs, "doc_id", 16, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("text_crc32"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -135,7 +138,7 @@ jump(doc_id, shards, key, b, j) AS (
   FROM (SELECT *, (key * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS nk FROM jump WHERE j < shards)),
 placed AS (SELECT doc_id, shards, max(b) AS shard FROM jump GROUP BY doc_id, shards)
 SELECT m.doc_id, m.size, m.text_crc32, 'key' AS law, p.shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY p.shard ORDER BY (m.h % 256)::INTEGER, m.doc_id, m.text_crc32, m.size) - 1)::BIGINT AS slot, q.shard::INTEGER AS grown_shard
+  (row_number() OVER (PARTITION BY p.shard ORDER BY (m.h % 256 + m.text_crc32::UHUGEINT % 256) % 256, m.doc_id, m.text_crc32, m.size) - 1)::BIGINT AS slot, q.shard::INTEGER AS grown_shard
 FROM mixed m JOIN placed p ON p.doc_id = m.doc_id AND p.shards = 16 JOIN placed q ON q.doc_id = m.doc_id AND q.shards = 17
 """
 

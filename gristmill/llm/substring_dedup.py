@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import LONG_MAX, others
+from gristmill.llm._common import LONG_MAX, WHOLE, others
 from gristmill.llm._words import buffers, window_hashes, word_bounds, word_hashes
 
 CHUNK_BYTES = 6 << 20
@@ -325,7 +325,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are equal in id and text never part). Ids are whole numbers, any other kind is an error. Further columns stay; an
     empty table gives an empty one. A document is never cut, so a chunk is as large as its longest one.
     """
-    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+    if docs.schema[id_col].dataType.simpleString() not in WHOLE:
         raise TypeError(f"{id_col} must be a whole number")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     chunks = max(1, math.ceil(total / CHUNK_BYTES))

@@ -137,9 +137,11 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("part", [4096, 3])
-def test_simhash(docs, empty, monkeypatch, part):
+@pytest.mark.parametrize("part, blocks", [(4096, 6), (3, 6), (4096, 8)])
+def test_simhash(docs, empty, monkeypatch, part, blocks):
     monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
+    assert [simhash.blocks_for(n, 4) for n in (10, 10**12)] == [blocks, max(blocks, 9)]
     rows = [((1 << 63) - 1 if r[0] is None else r[0], brute_fingerprint(r[1])) for r in documents()]
     links = {i: i for i, _ in rows}
 
@@ -216,6 +218,23 @@ def test_sharding(docs, empty):
     assert shard_rows(docs, "source", 5).where("shard not between 0 and 4").count() == 0
 
 
+def test_a_hot_key_is_ranked_in_many_tasks(spark):
+    from gristmill.llm import sharding
+
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    out = shard_rows(rows)
+    assert out.select("shard").distinct().count() == 1 and sorted(r.slot for r in out.collect()) == list(range(2000))
+    placed = rows.select(sharding._placer(16)(F.lit(0).cast("long"), F.xxhash64("text")).alias("p")).groupBy("p.sub").count()
+    assert placed.count() == sharding.SUB_BUCKETS and placed.agg(F.max("count")).first()[0] < 40
+
+
+def test_ids_that_are_no_numbers_are_an_error(docs):
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for operator in (dedup_lines, simhash.near_duplicates):
+        with pytest.raises(TypeError):
+            operator(rows)
+
+
 def test_jump_moves_only_what_it_must():
     keys = mix(np.arange(200_000).astype(np.uint64))
     a, b = jump(keys.copy(), 20), jump(keys.copy(), 21)
