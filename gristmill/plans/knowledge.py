@@ -19,7 +19,7 @@ def _lines(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("doc_name"), (F.col("o_orderkey") % 7).cast("int").alias("page_number"), F.col("o_orderstatus").alias("chunk_type"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey")
     joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select("l_orderkey", "l_linenumber", "doc_name", "page_number", "chunk_type", "sn", "tn", "l_returnflag", "l_linestatus", "l_partkey")
+    return joined.select("l_orderkey", "l_linenumber", "doc_name", "page_number", "chunk_type", "sn", "tn", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
 
 
 def _extractions(spark, sf_dir) -> DataFrame:
@@ -28,21 +28,21 @@ def _extractions(spark, sf_dir) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "test").otherwise("drug")
     entity = F.array_compact(F.array(F.struct(F.col("sn").alias("name"), kind.alias("type"), F.concat(F.lit("part "), (F.col("l_partkey") % 5).cast("string")).alias("description")), F.when(F.col("l_linestatus") == "F", F.struct(F.col("tn").alias("name"), F.lit("odd").alias("type"), F.lit("").alias("description")))))
     relation = F.struct(F.col("sn").alias("source"), F.col("tn").alias("target"), F.when(F.col("l_returnflag") == "R", "returns to").otherwise("ships").alias("type"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("description"))
-    item = F.struct("at", entity.alias("e"), relation.alias("r"))
+    item = F.struct("at", "l_partkey", "l_suppkey", entity.alias("e"), relation.alias("r"))  # line numbers may repeat
     grouped = rows.groupBy("l_orderkey", "doc_name", "page_number", "chunk_type").agg(F.array_sort(F.collect_list(item)).alias("x"))
     return grouped.select(F.format_string("c%08d", "l_orderkey").alias("chunk_id"), "doc_name", "page_number", "chunk_type", F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("content"), F.flatten(F.transform("x", lambda x: x["e"])).alias("entities"), F.transform("x", lambda x: x["r"]).alias("relations"))
 
 
 _ID = lambda n: f"'entity:' || substr(sha1(lower({n})), 1, 16)"
 _KNOWN = f"""l AS (SELECT printf('c%08d', o_orderkey) AS chunk_id, o_orderpriority AS doc_name, (o_orderkey % 7)::INTEGER AS page_number, o_orderstatus AS chunk_type, 'order ' || o_orderkey AS content, l_linenumber AS ln,
-    upper(s.n_name[1]) || lower(s.n_name[2:]) AS sn0, upper(c.n_name[1]) || lower(c.n_name[2:]) AS tn0, s.n_name AS sraw, c.n_name AS traw, l_returnflag AS rf, l_linestatus AS ls, 'part ' || l_partkey % 5 AS pd
+    upper(s.n_name[1]) || lower(s.n_name[2:]) AS sn0, upper(c.n_name[1]) || lower(c.n_name[2:]) AS tn0, s.n_name AS sraw, c.n_name AS traw, l_returnflag AS rf, l_linestatus AS ls, 'part ' || l_partkey % 5 AS pd, l_partkey AS pk, l_suppkey AS sk
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey),
 nm AS (SELECT n_name, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS nice FROM nation),
 ll AS (SELECT l.* EXCLUDE (sn0, tn0), a.nice AS sn, b.nice AS tn FROM l JOIN nm a ON sraw = a.n_name JOIN nm b ON traw = b.n_name),
-m0 AS (SELECT chunk_id, doc_name, page_number, chunk_type, content, ln, 0 AS side, sn AS name, CASE WHEN rf = 'R' THEN 'TEST' ELSE 'DRUG' END AS type, pd AS description FROM ll
-  UNION ALL SELECT chunk_id, doc_name, page_number, chunk_type, content, ln, 1, tn, 'OTHER', '' FROM ll WHERE ls = 'F'),
-ment AS (SELECT *, {_ID('name')} AS key, row_number() OVER (ORDER BY page_number, chunk_id, ln, side) AS seq FROM m0),
-r0 AS (SELECT *, CASE WHEN rf = 'R' THEN 'RETURNS_TO' ELSE 'SHIPS' END AS type, 'line ' || ln AS description, {_ID('sn')} AS source, {_ID('tn')} AS target, row_number() OVER (ORDER BY page_number, chunk_id, ln) AS seq FROM ll WHERE lower(sn) <> lower(tn)),
+m0 AS (SELECT chunk_id, doc_name, page_number, chunk_type, content, ln, pk, sk, 0 AS side, sn AS name, CASE WHEN rf = 'R' THEN 'TEST' ELSE 'DRUG' END AS type, pd AS description FROM ll
+  UNION ALL SELECT chunk_id, doc_name, page_number, chunk_type, content, ln, pk, sk, 1, tn, 'OTHER', '' FROM ll WHERE ls = 'F'),
+ment AS (SELECT *, {_ID('name')} AS key, row_number() OVER (ORDER BY page_number, chunk_id, ln, pk, sk, side) AS seq FROM m0),
+r0 AS (SELECT *, CASE WHEN rf = 'R' THEN 'RETURNS_TO' ELSE 'SHIPS' END AS type, 'line ' || ln AS description, {_ID('sn')} AS source, {_ID('tn')} AS target, row_number() OVER (ORDER BY page_number, chunk_id, ln, pk, sk) AS seq FROM ll WHERE lower(sn) <> lower(tn)),
 ends AS (SELECT chunk_id, doc_name, page_number, chunk_type, content, seq, unnest([source, target]) AS key, unnest([sn, tn]) AS name FROM r0),
 lone AS (SELECT DISTINCT ON (key) * FROM ends WHERE key NOT IN (SELECT key FROM ment) ORDER BY key, seq),
 every AS (SELECT key, name, type, description, seq, chunk_id, doc_name, page_number, chunk_type, content FROM ment UNION ALL SELECT key, name, 'OTHER', '', seq, chunk_id, doc_name, page_number, chunk_type, content FROM lone),
