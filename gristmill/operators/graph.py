@@ -35,16 +35,25 @@ def evidence() -> Column:
 
 
 def accumulate_entities(mentions: DataFrame, key: str = "key", seq: str = "seq", chunk: str = "chunk_id") -> DataFrame:
-    """(key, name, aliases, type, mention_count): first name, all names, commonest type (ties: first seen), distinct chunks."""
+    """(key, name, aliases, type, mention_count): first name, all names, commonest type (ties: first seen), distinct chunks.
+
+    Chunks are counted apart from the names, so that only pairs of key and chunk are shuffled for them.
+    """
     types = mentions.groupBy(key, "type").agg(F.count("*").alias("n"), F.min(seq).alias("first"))
     mode = types.groupBy(key).agg(F.min_by("type", F.struct(-F.col("n"), F.col("first"))).alias("type"))
-    base = mentions.groupBy(key).agg(F.min_by("name", seq).alias("name"), F.array_sort(F.collect_set("name")).alias("aliases"), F.count_distinct(chunk).alias("mention_count"))
-    return base.join(mode, key)
+    base = mentions.groupBy(key).agg(F.min_by("name", seq).alias("name"), F.array_sort(F.collect_set("name")).alias("aliases"))
+    return base.join(mode, key).join(mention_counts(mentions, key, chunk), key)
+
+
+def mention_counts(mentions: DataFrame, key: str = "key", chunk: str = "chunk_id") -> DataFrame:
+    """(key, mention_count): distinct chunks. Rows that are partitioned by the chunk already stay where they are."""
+    return mentions.groupBy(key, chunk).agg(F.lit(1).alias("__one")).groupBy(key).agg(F.count(chunk).alias("mention_count"))
 
 
 def accumulate_relations(rows: DataFrame, chunk: str = "chunk_id") -> DataFrame:
-    """(source, target, type, weight, evidence_count): weight counts rows, evidence distinct chunks."""
-    return rows.groupBy("source", "target", "type").agg(F.count("*").alias("weight"), F.count_distinct(chunk).alias("evidence_count"))
+    """(source, target, type, weight, evidence_count): weight counts rows, evidence distinct chunks. Rows that are partitioned by the chunk already stay where they are."""
+    each = rows.groupBy("source", "target", "type", chunk).agg(F.count("*").alias("__n"))
+    return each.groupBy("source", "target", "type").agg(F.sum("__n").alias("weight"), F.count(chunk).alias("evidence_count"))
 
 
 def first_descriptions(rows: DataFrame, by: list[str], n: int = 3, seq: str = "seq") -> DataFrame:

@@ -12,12 +12,15 @@ from gristmill.plans.base import query, table
 
 
 def _trade(spark, sf_dir):
-    """Rows of a graph: supplier's nation to customer's nation, a row for each line; orders are the chunks."""
+    """Rows of a graph: supplier's nation to customer's nation, a row for each line; orders are the chunks.
+
+    Orders find their customers first, so lines are shuffled once, by the order, and stay there for what is counted by chunk.
+    """
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("source"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("target"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "target")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "RETURNS").otherwise("SHIPS_TO").alias("type"))
-    joined = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
+    joined = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).join(orders, lines.l_orderkey == orders.o_orderkey)
     return joined.where("source <> target").select(F.concat(F.lit("n"), F.col("source")).alias("source"), F.concat(F.lit("n"), F.col("target")).alias("target"), "type", F.col("o_orderkey").alias("chunk_id"))
 
 
@@ -44,7 +47,7 @@ def entity_accumulate(spark, sf_dir):
        "SELECT source, target, type, weight FROM rel WHERE weight >= 20 AND source IN (SELECT key FROM k) AND target IN (SELECT key FROM k)")
 def mention_threshold(spark, sf_dir):
     rows = _trade(spark, sf_dir)
-    entities = rows.select(F.explode(F.array("source", "target")).alias("key"), "chunk_id").groupBy("key").agg(F.count_distinct("chunk_id").alias("mention_count"))
+    entities = G.mention_counts(rows.select(F.explode(F.array("source", "target")).alias("key"), "chunk_id"))
     return G.threshold(entities, G.accumulate_relations(rows), 300, 20)[1].select("source", "target", "type", "weight")
 
 
