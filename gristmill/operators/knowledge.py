@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import canonical_name, snippet, stable_id
 from gristmill.operators import graph as G
-from gristmill.operators.lineage import cut
+from gristmill.operators.lineage import cut, stored
 from gristmill.operators.providers import TextGenerator, batched, first_json, with_cache
 
 ENTITIES = "array<struct<name:string,type:string,description:string>>"
@@ -79,6 +79,8 @@ def extract(chunks: DataFrame, cache: DataFrame, ask: Callable[[pd.DataFrame], p
     return rows.select(*chunks.columns, empty("entities", ENTITIES), empty("relations", RELATIONS)), new
 
 
+#: Up to so many ends of relations that no mention names are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 _CHUNK = ["chunk_id", "doc_name", "page_number", "chunk_type", "content"]
 
 
@@ -92,11 +94,21 @@ def mentions(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_evidence(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    """(by, evidence): the first n different chunks of each group with a snippet; a chunk's rows are combined before ranks are given, so no group is gathered."""
-    each = rows.groupBy(*by, "chunk_id").agg(F.min_by(F.struct("seq", "doc_name", "page_number", "chunk_type", snippet(F.col("content"), 420).alias("snippet")), "seq").alias("e"))
-    top = each.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("e.seq", "chunk_id"))).where(F.col("n") <= n)
+    """(by, evidence): the first n different chunks of each group with a snippet.
+
+    Every task passes on the rows of its own first n chunks of a group alone, before the shuffle (a chunk is on one page).
+    """
+    place = F.dense_rank().over(Window.partitionBy(*by).orderBy("page_number", "chunk_id"))
+    top = rows.select(*by, *_CHUNK, "seq").withColumn("n", place).where(F.col("n") <= n)
+    each = top.groupBy(*by, "n", "chunk_id").agg(F.min_by(F.struct("doc_name", "page_number", "chunk_type", snippet(F.col("content"), 420).alias("snippet")), "seq").alias("e"))
     item = F.struct("n", F.struct("chunk_id", "e.doc_name", "e.page_number", "e.chunk_type", "e.snippet").alias("v"))
-    return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("evidence"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("evidence"))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows of mentions() in a scratch table; seq repeats the chunk's columns, so its last part alone is written."""
+    back = stored(rows.withColumn("pos", F.col("seq.pos")).drop("seq"))
+    return back.withColumn("seq", F.struct("page_number", "chunk_id", "pos")).drop("pos")
 
 
 def build_graph(extractions: DataFrame, options: GraphOptions | None = None, communities: bool = True) -> dict[str, DataFrame]:
@@ -106,13 +118,18 @@ def build_graph(extractions: DataFrame, options: GraphOptions | None = None, com
     relations that no mention names are entities of type OTHER with the evidence of the first relation that names them.
     Without `communities` entities have none and there are no members.
     relations: source, target (keys), type, weight (rows), evidence_count (chunks), description, evidence, relation_id.
+    Extractions are worked out once and kept as compressed tables with snippets in place of contents; pairs of group and
+    chunk are the largest rows shuffled after that.
     """
     options = options or GraphOptions()
-    named, related = map(cut, mentions(extractions))
+    rows = stored(extractions.select(*(snippet(F.col(c), 420).alias(c) if c == "content" else c for c in _CHUNK), "entities", "relations"))
+    named, related = map(_kept, mentions(rows))
     ends = related.select(*_CHUNK, "seq", F.explode(F.array(F.struct(F.col("source_key").alias("key"), F.col("source").alias("name")), F.struct(F.col("target_key").alias("key"), F.col("target").alias("name")))).alias("end")).select(*_CHUNK, "seq", "end.*")
-    missing = ends.join(named.select("key").distinct(), "key", "left_anti")
-    first = missing.groupBy("key").agg(F.min("seq").alias("seq"))
-    only = missing.join(first, ["key", "seq"]).dropDuplicates(["key"]).select(*named.drop("type", "description").columns, F.lit("OTHER").alias("type"), F.lit("").alias("description"))
+    unknown = cut(ends.select("key").distinct().join(named.select("key").distinct(), "key", "left_anti"))
+    few = F.broadcast(unknown) if unknown.count() <= BROADCAST_KEYS else unknown
+    columns = [c for c in named.columns if c not in ("key", "type", "description")]
+    first = ends.join(few, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct(*columns), "seq").alias("r"))
+    only = first.select("key", "r.*", F.lit("OTHER").alias("type"), F.lit("").alias("description"))
     every = named.unionByName(only)
     entities = G.accumulate_entities(every).join(G.first_descriptions(every, ["key"]), "key", "left").join(first_evidence(every, ["key"], options.evidence), "key", "left")
     keyed = related.select(*_CHUNK, "seq", "type", "description", F.col("source_key").alias("source"), F.col("target_key").alias("target"))

@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import knowledge as K
 from gristmill.operators import graph as G
-from gristmill.operators.lineage import cut, scratch_path
+from gristmill.operators.lineage import cut, scratch_path, stored
 from gristmill.plans.base import query, table
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    """A row for each line: both nations' names, and what the extraction of it says."""
+    """A row for each line: both nations' names, and what the extraction of it says.
+
+    Orders find their customers first, so lines are shuffled once, by the order; nations get their names last.
+    """
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap(F.lower("n_name")).alias("name"))
-    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("name").alias("sn"))
-    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("name").alias("tn"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("doc_name"), (F.col("o_orderkey") % 7).cast("int").alias("page_number"), F.col("o_orderstatus").alias("chunk_type"))
+    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey")
-    joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    for key, name in (("s_nationkey", "sn"), ("c_nationkey", "tn")):
+        joined = joined.join(F.broadcast(nation.select(F.col("n_nationkey").alias(f"__{name}"), F.col("name").alias(name))), F.col(key) == F.col(f"__{name}"))
     return joined.select("l_orderkey", "l_linenumber", "doc_name", "page_number", "chunk_type", "sn", "tn", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
 
 
 def _extractions(spark, sf_dir) -> DataFrame:
     """(chunk columns, entities, relations): suppliers' nations are mentioned (DRUG, or TEST for returns); customers' only by relations, but for status F."""
     rows = _lines(spark, sf_dir).withColumn("at", F.col("l_linenumber"))
-    kind = F.when(F.col("l_returnflag") == "R", "test").otherwise("drug")
-    entity = F.array_compact(F.array(F.struct(F.col("sn").alias("name"), kind.alias("type"), F.concat(F.lit("part "), (F.col("l_partkey") % 5).cast("string")).alias("description")), F.when(F.col("l_linestatus") == "F", F.struct(F.col("tn").alias("name"), F.lit("odd").alias("type"), F.lit("").alias("description")))))
-    relation = F.struct(F.col("sn").alias("source"), F.col("tn").alias("target"), F.when(F.col("l_returnflag") == "R", "returns to").otherwise("ships").alias("type"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("description"))
-    item = F.struct("at", "l_partkey", "l_suppkey", entity.alias("e"), relation.alias("r"))  # line numbers may repeat
+    item = F.struct("at", "l_partkey", "l_suppkey", "sn", "tn", "l_returnflag", "l_linestatus")  # line numbers may repeat
     grouped = rows.groupBy("l_orderkey", "doc_name", "page_number", "chunk_type").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    return grouped.select(F.format_string("c%08d", "l_orderkey").alias("chunk_id"), "doc_name", "page_number", "chunk_type", F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("content"), F.flatten(F.transform("x", lambda x: x["e"])).alias("entities"), F.transform("x", lambda x: x["r"]).alias("relations"))
+
+    def entities(x):
+        kind = F.when(x["l_returnflag"] == "R", "test").otherwise("drug")
+        part = F.concat(F.lit("part "), (x["l_partkey"] % 5).cast("string"))
+        return F.array_compact(F.array(F.struct(x["sn"].alias("name"), kind.alias("type"), part.alias("description")), F.when(x["l_linestatus"] == "F", F.struct(x["tn"].alias("name"), F.lit("odd").alias("type"), F.lit("").alias("description")))))
+
+    def relation(x):
+        return F.struct(x["sn"].alias("source"), x["tn"].alias("target"), F.when(x["l_returnflag"] == "R", "returns to").otherwise("ships").alias("type"), F.concat(F.lit("line "), x["at"].cast("string")).alias("description"))
+
+    return grouped.select(F.format_string("c%08d", "l_orderkey").alias("chunk_id"), "doc_name", "page_number", "chunk_type", F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("content"), F.flatten(F.transform("x", entities)).alias("entities"), F.transform("x", relation).alias("relations"))
 
 
 _ID = lambda n: f"'entity:' || substr(sha1(lower({n})), 1, 16)"
@@ -133,7 +145,7 @@ def graph_search(spark, sf_dir):
 @query(f"WITH {_KNOWN} SELECT chunk_id, ln AS line, source AS source_key, target AS target_key FROM r0")
 def relation_endpoints(spark, sf_dir):
     """Ends of relations by the names of their own chunk."""
-    rows = cut(_extractions(spark, sf_dir))
+    rows = stored(_extractions(spark, sf_dir))
     named, related = K.mentions(rows)
     out = K.resolve_names(named.select("chunk_id", "name", "key"), related.select("chunk_id", "source", "target", F.substring("description", 6, 9).cast("int").alias("line")))
     return out.select("chunk_id", "line", "source_key", "target_key")

@@ -192,3 +192,27 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text(json.dumps(row))
     cli.main(["graph-docs", str(tmp_path / "x.jsonl"), "--output", str(tmp_path / "o3")])
     assert spark.read.parquet(str(tmp_path / "o3")).count() == 1
+
+
+def test_graph_of_lines_keeps_no_wide_rows(spark, tmp_path, monkeypatch):
+    """Rows of mentions and relations are kept as compressed columns: no checkpoint takes a row for each line; the graph stays that of brute force."""
+    from gristmill.operators import knowledge as K
+
+    sizes = []
+    plain = K.cut
+    monkeypatch.setattr(K, "cut", lambda df: (lambda done: (sizes.append(done.count()), done)[1])(plain(df)))
+    chunks = [(f"c{i:03d}", f"doc {i % 3}", i % 4, "text", "long " * 200, [(f"E{j % 5}", "DRUG", f"d{j}") for j in range(i % 7)], [(f"E{i % 5}", f"X{i % 2}", "treats", f"r{i % 9}")]) for i in range(200)]
+    chunks += [chunks[11], chunks[12]]  # a chunk that comes twice is one chunk
+    rows = spark.createDataFrame(chunks, f"chunk_id string, doc_name string, page_number int, chunk_type string, content string, entities {K.ENTITIES}, relations {K.RELATIONS}")
+    graph = K.build_graph(rows, communities=False)
+    found = {r["name"]: r for r in graph["entities"].collect()}
+    for name in [f"E{j}" for j in range(5)]:
+        own = sorted({(c[2], c[0]) for c in chunks if name in [e[0] for e in c[5]]})
+        assert found[name]["mention_count"] == len(own)
+        assert [e["chunk_id"] for e in found[name]["evidence"]] == [k for _, k in own[:5]]
+    for name in ("X0", "X1"):
+        first = min((c[2], c[0]) for c in chunks if c[6][0][1] == name)
+        assert (found[name]["type"], [e["chunk_id"] for e in found[name]["evidence"]]) == ("OTHER", [first[1]])
+    assert sum(r["weight"] for r in graph["relations"].collect()) == len(chunks)
+    assert sum(r["evidence_count"] for r in graph["relations"].collect()) == 200
+    assert max(sizes) <= 20
