@@ -218,14 +218,17 @@ def graph_search(hits: DataFrame, documents: DataFrame, relations: DataFrame, op
 
 
 def resolve_names(mentioned: DataFrame, related: DataFrame) -> DataFrame:
-    """related (chunk_id, source, target) with source_key and target_key: that of an entity which the same chunk names so (case and accents aside), else that of the name alone."""
-    own = mentioned.select("chunk_id", canonical_name(F.col("name")).alias("c"), "key").groupBy("chunk_id", "c").agg(F.min("key").alias("key"))
-    out = related
+    """related (chunk_id, source, target) with source_key and target_key: that of an entity which the same chunk names so (case and accents aside), else that of the name alone.
+
+    A chunk's names are one list, so both sides are shuffled once, by the chunk.
+    """
+    own = mentioned.select("chunk_id", F.struct(canonical_name(F.col("name")).alias("c"), "key").alias("__e")).groupBy("chunk_id").agg(F.collect_set("__e").alias("__own"))
+    out = related.join(own, "chunk_id", "left")
     for side in ("source", "target"):
-        named = own.select("chunk_id", F.col("c").alias(f"__{side}"), F.col("key").alias(f"__{side}_key"))
-        out = out.withColumn(f"__{side}", canonical_name(F.col(side))).join(named, ["chunk_id", f"__{side}"], "left")
-        out = out.withColumn(f"{side}_key", F.coalesce(f"__{side}_key", G.entity_id(F.col(side)))).drop(f"__{side}", f"__{side}_key")
-    return out
+        named = lambda e: e["c"] == F.col(f"__{side}")  # noqa: B023, E731
+        key = F.array_min(F.transform(F.filter("__own", named), lambda e: e["key"]))
+        out = out.withColumn(f"__{side}", canonical_name(F.col(side))).withColumn(f"{side}_key", F.coalesce(key, G.entity_id(F.col(side)))).drop(f"__{side}")
+    return out.drop("__own")
 
 
 def write_graph(graph: dict[str, DataFrame], path: str, communities: DataFrame | None = None) -> DataFrame:

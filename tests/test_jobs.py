@@ -216,3 +216,15 @@ def test_graph_of_lines_keeps_no_wide_rows(spark, tmp_path, monkeypatch):
     assert sum(r["weight"] for r in graph["relations"].collect()) == len(chunks)
     assert sum(r["evidence_count"] for r in graph["relations"].collect()) == 200
     assert max(sizes) <= 20
+
+
+def test_names_of_a_chunk_resolve_in_one_list(spark):
+    from gristmill.operators import knowledge as K
+
+    named = spark.createDataFrame([("a", "Áb", "k2"), ("a", "ab", "k1"), ("b", "c", "k3"), (None, "x", "k4")], "chunk_id string, name string, key string")
+    related = spark.createDataFrame([("a", "AB", "zz"), ("b", "ab", "C"), (None, "x", "y"), ("q", "x", "y")], "chunk_id string, source string, target string")
+    got = {(r["chunk_id"], r["source"]): r for r in K.resolve_names(named, related).collect()}
+    lone = {r["n"]: r["k"] for r in spark.createDataFrame([(n,) for n in ("zz", "ab", "x", "y")], "n string").select("n", K.G.entity_id(K.F.col("n")).alias("k")).collect()}
+    assert (got["a", "AB"]["source_key"], got["a", "AB"]["target_key"]) == ("k1", lone["zz"])
+    assert (got["b", "ab"]["source_key"], got["b", "ab"]["target_key"]) == (lone["ab"], "k3")
+    assert (got[None, "x"]["source_key"], got["q", "x"]["source_key"]) == (lone["x"], lone["x"])
