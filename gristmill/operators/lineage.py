@@ -50,10 +50,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a scan that one partition of parted() takes.
+PART_BYTES = 8 << 20
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parted(df: DataFrame, source: DataFrame, *by: str) -> DataFrame:
+    """df partitioned by columns into as many parts as its source (a scan) has PART_BYTES: a part, hence a task's memory, doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, scan_bytes(source) // PART_BYTES + 1), *by)
+
+
 def balanced(df: DataFrame) -> DataFrame:
     """df over all cores if the optimiser's estimate of it is below SMALL_SCAN; larger tables have tasks enough and stay as they are."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL_SCAN:
+    if scan_bytes(df) >= SMALL_SCAN:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.text import stable_id
 from gristmill.operators import graph as G
 from gristmill.operators import tree as R
+from gristmill.operators.lineage import parted
 from gristmill.plans.base import query, table
 
 
@@ -19,9 +20,11 @@ def _trade(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("source"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("target"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "target")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "RETURNS").otherwise("SHIPS_TO").alias("type"))
-    joined = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).join(orders, lines.l_orderkey == orders.o_orderkey)
-    return joined.where("source <> target").select(F.concat(F.lit("n"), F.col("source")).alias("source"), F.concat(F.lit("n"), F.col("target")).alias("target"), "type", F.col("o_orderkey").alias("chunk_id"))
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "RETURNS").otherwise("SHIPS_TO").alias("type"))
+    rows = parted(rows.join(supplier, rows.l_suppkey == supplier.s_suppkey).select("l_orderkey", "source", "type"), lines, "l_orderkey")
+    joined = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
+    return joined.where("source <> target").select(F.concat(F.lit("n"), F.col("source")).alias("source"), F.concat(F.lit("n"), F.col("target")).alias("target"), "type", F.col("l_orderkey").alias("chunk_id"))
 
 
 _TRADE = """trade AS (SELECT 'n' || s_nationkey AS source, 'n' || c_nationkey AS target, CASE WHEN l_returnflag = 'R' THEN 'RETURNS' ELSE 'SHIPS_TO' END AS type, o_orderkey AS chunk_id

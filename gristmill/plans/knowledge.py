@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import knowledge as K
 from gristmill.operators import graph as G
-from gristmill.operators.lineage import cut, scratch_path, stored
+from gristmill.operators.lineage import cut, parted, scratch_path, stored
 from gristmill.plans.base import query, table
 
 
@@ -21,8 +21,10 @@ def _lines(spark, sf_dir) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("doc_name"), (F.col("o_orderkey") % 7).cast("int").alias("page_number"), F.col("o_orderstatus").alias("chunk_type"))
     orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey")
-    joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey")
+    rows = parted(rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), lines, "l_orderkey")
+    joined = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     for key, name in (("s_nationkey", "sn"), ("c_nationkey", "tn")):
         joined = joined.join(F.broadcast(nation.select(F.col("n_nationkey").alias(f"__{name}"), F.col("name").alias(name))), F.col(key) == F.col(f"__{name}"))
     return joined.select("l_orderkey", "l_linenumber", "doc_name", "page_number", "chunk_type", "sn", "tn", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
