@@ -105,18 +105,19 @@ def _repaired(text: str, odd: int = 3, broken: int = 20) -> str:
         good = sum(c.isalnum() or c.isspace() for c in t)
         return good - odd * sum(c in "ÃÂÄÆáº»" for c in t) - broken * t.count("�")
 
-    found, frontier = {text}, {text}
-    for _ in range(2):
-        new = set()
-        for t in frontier:
-            for codec in ("cp1252", "latin-1"):
-                try:
-                    new.add(t.encode(codec).decode("utf-8"))
-                except UnicodeError:
-                    pass
-        frontier = new - found
-        found |= new
-    return max(sorted(found), key=score)
+    def decoded(t: str) -> set[str]:
+        out = set()
+        for codec in ("cp1252", "latin-1"):
+            try:
+                out.add(t.encode(codec).decode("utf-8"))
+            except UnicodeError:
+                pass
+        return out - {t}
+
+    # a whole text is valid UTF-8 by chance next to never, whatever its letters score; a second round has to score more
+    once = decoded(text) or {text}
+    twice = set().union(*map(decoded, once)) - once
+    return max([*sorted(once), *sorted(twice)], key=score)
 
 
 @F.pandas_udf(StringType())
@@ -132,11 +133,11 @@ def _repair_index(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def repair_mojibake(text: Column, index: bool = False) -> Column:
-    """Text that was decoded with a wrong code page, decoded rightly; the best of the candidates of two rounds. Rows without a tell-tale letter pair stay as they are.
+    """Text that was decoded with a wrong code page, decoded rightly; a second round only where that scores more. Rows without a pair that could be the first two bytes of a character stay as they are.
 
     index: the weights of the index normaliser, which counts odd letters and replacement characters more.
     """
-    return F.when(text.rlike("[ÃÂÄÆáâ][\u0080-¿Œ-™]"), (_repair_index if index else _repair)(text)).otherwise(text)
+    return F.when(text.rlike("[Â-ô][\u0080-¿Œ-™]"), (_repair_index if index else _repair)(text)).otherwise(text)
 
 
 def tokens(text: Column, segment: Callable[[Column], Column] | None = None) -> Column:

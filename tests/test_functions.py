@@ -96,3 +96,11 @@ def test_tables(spark):
     assert not accept([["only one row", "x"]]) and not accept([["a", "b"], ["c", "d"]])
     assert not accept([["the", "of it"], ["runs on", "and so"], ["to the", "end here"]], "text")
     assert accept([["", "", ""], ["Name", "", "Dose"], ["Aspirin", "", "81 mg"], ["Heparin", "", "50 mg"]])
+
+
+def test_mojibake_of_any_letters(spark):
+    """Texts whose right form scores no more than the wrong one, and other scripts."""
+    for text in ("Ä", "á", "wait … and – so", "“quoted”", "Привет", "中文", "Ελλάδα", "😀 ok", "plain", "a » b", "Ã"):
+        for codec in ("latin-1",) if any(0x80 <= b < 0xA0 for b in text.encode()) else ("latin-1", "cp1252"):
+            assert one(spark, text.encode().decode(codec), T.repair_mojibake) == text
+            assert one(spark, text.encode().decode(codec), lambda c: T.repair_mojibake(c, index=True)) == text
