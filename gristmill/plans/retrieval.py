@@ -55,7 +55,7 @@ def term_stats(spark, sf_dir):
 def dense_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.dense(vectors, asked, 40, "vec_id", "embedding").withColumns({"score": F.round("score", 5), "rank": F.col("rank").cast("long")})
+    return R.dense(vectors, asked, 40, "vec_id", "embedding", digits=5).withColumns({"score": F.round("score", 5), "rank": F.col("rank").cast("long")})
 
 
 @query("WITH sims AS (SELECT q.label AS query_id, v.label AS node_id, q.vec_id AS q_token, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 GROUP BY ALL)\n"

@@ -129,3 +129,12 @@ def test_evaluation(spark):
     assert [r.y for r in ctx.collect()] == [["a", "b"], ["plain"], ["[bad"], []]
     hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id int, node_id string, rank int")
     assert tuple(E.rank_metrics(hits, spark.createDataFrame([(1, "b"), (1, "c")], "query_id int, node_id string"), 2).first())[1:] == (0.5, 0.5, 0.5)
+
+
+def test_dense_ranks_rounded_scores(spark):
+    rows = spark.createDataFrame([(1, [0.100001]), (2, [0.100004]), (3, [0.1]), (4, [-0.100006])], "vec_id long, v array<double>")
+    asked = spark.createDataFrame([(0, [1.0])], "query_id long, q array<double>")
+    best = {r["vec_id"]: (r["rank"], r["score"]) for r in R.dense(rows, asked, 2, "vec_id", digits=5).collect()}
+    assert best == {1: (1, 0.1), 2: (2, 0.1)}
+    last = {r["vec_id"]: (r["rank"], r["score"]) for r in R.dense(rows, asked, 4, "vec_id", digits=5).collect()}
+    assert last == {1: (1, 0.1), 2: (2, 0.1), 3: (3, 0.1), 4: (4, -0.10001)}
