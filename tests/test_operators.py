@@ -148,3 +148,20 @@ def test_sparse_vectors_have_an_entry_for_each_term(spark):
     sizes = lambda **k: {r[0]: r[1] for r in S.sparse_vectors(docs, F.col("terms"), **k).select("node_id", F.size("indices")).collect()}
     assert sizes() == {1: 160_000, 2: 1}
     assert sizes(size=1 << 30)[1] < 160_000
+
+
+def test_nearest_blocks_by_strips(spark):
+    """Against all pairs, with ties, equal boxes, far blocks, a wide one and unknown places."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n, m, span in ((3, 5, 4), (400, 150, 60), (900, 200, 5000), (500, 100, 8)):
+        make = lambda c: (lambda p: np.hstack([p, p + rng.integers(0, 6, (c, 2))]))(rng.integers(0, span, (c, 2)).astype(float))  # noqa: E731, B023
+        blocks, regions, index = make(n), make(m), rng.permutation(n)
+        blocks[0] = [-10, 2, 10 * span, 3]
+        blocks[1, 0], regions[2, 1] = np.nan, np.nan
+        got = C.nearest(regions, blocks, index, 4)
+        for i, (x0, y0, x1, y1) in enumerate(regions):
+            d = [0 if x0 < b[2] and x1 > b[0] and y0 < b[3] and y1 > b[1] else abs(y0 - b[1]) + abs(x0 - b[0]) for b in blocks]
+            want = sorted(range(n), key=lambda j: (np.inf if np.isnan(d[j]) else d[j], index[j]))[:4]
+            assert got[i].tolist() == want
