@@ -238,3 +238,20 @@ def test_every_chunk_is_extracted(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in catalog.queries()["extraction_job"](spark, str(tmp_path)).select("chunk_id", "name").collect()}
     assert got == {(f"{i // 10}-{i % 10}", f"Word{i}") for i in range(1001)}
+
+
+def test_a_bucket_of_terms_is_one_file(spark, tmp_path):
+    """Though each of many tasks has terms of every bucket."""
+    from pathlib import Path
+
+    from gristmill.operators import index as I
+
+    nodes = spark.createDataFrame([(i, " ".join(f"w{'abcdefghij'[j % 10]}{'klmnop'[i % 6]}{'qrstu'[j // 10]}" for j in range(50))) for i in range(60)], "node_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert I.build_index(nodes, F.split("text", " "), f"{tmp_path}/i", buckets=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for kind in ("terms", "postings"):
+        files = [f.parent.name for f in Path(f"{tmp_path}/i/{kind}").glob("bucket=*/*.parquet")]
+        assert sorted(files) == [f"bucket={b}" for b in range(4)]
