@@ -103,3 +103,15 @@ def test_pdf_source_calls_its_parser(spark, tmp_path):
     spark.dataSource.register(PdfBlocks)
     rows = spark.read.format("pdf_blocks").option("parser", "tests.fake_pdf:blocks").load(str(tmp_path)).collect()
     assert [(r.block_index, r.text) for r in rows] == [(0, "one"), (1, "two")]
+
+
+def test_a_large_file_of_one_row_group_is_spread(spark, tmp_path, monkeypatch):
+    from gristmill.operators import lineage
+
+    monkeypatch.setattr(lineage, "SMALL_SCAN", 1)
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(0, 100, 1, 4).write.parquet(f"{tmp_path}/four")
+    held = lambda df: [n for n in df.rdd.glom().map(len).collect() if n]
+    assert len(held(lineage.balanced(spark.read.parquet(f"{tmp_path}/one"), large=True))) == spark.sparkContext.defaultParallelism
+    four = spark.read.parquet(f"{tmp_path}/four")
+    assert lineage.balanced(four, large=True) is four
