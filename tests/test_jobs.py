@@ -231,13 +231,13 @@ def test_names_of_a_chunk_resolve_in_one_list(spark):
 
 
 def test_every_chunk_is_extracted(spark, tmp_path):
-    """More chunks than a budget of 40 batches of 20 takes."""
+    """More chunks than two runs with a budget of 40 batches of 20 take."""
     from gristmill.plans import catalog
 
-    rows = [(i // 10, i % 10, "user", f"Word{i} and more") for i in range(1001)]
+    rows = [(i // 10, i % 10, "user", f"Word{i} and more") for i in range(2001)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in catalog.queries()["extraction_job"](spark, str(tmp_path)).select("chunk_id", "name").collect()}
-    assert got == {(f"{i // 10}-{i % 10}", f"Word{i}") for i in range(1001)}
+    assert got == {(f"{i // 10}-{i % 10}", f"Word{i}") for i in range(2001)}
 
 
 def test_a_bucket_of_terms_is_one_file(spark, tmp_path):
