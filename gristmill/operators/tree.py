@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import estimate_tokens
 from gristmill.operators.lineage import cut
+from gristmill.operators.retrieval import matrix
+
+#: Numbers in the vectors of a cluster that one task splits by itself (64 MB of doubles); larger clusters are split over all tasks.
+LOCAL_CELLS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -63,8 +69,6 @@ def mixture(nodes: DataFrame, options: TreeOptions) -> tuple[DataFrame, int, dic
 
 def _one(rows: DataFrame, n: int, d: int) -> float:
     """BIC of a single Gaussian, from the covariance that one pass gives."""
-    import numpy as np
-
     x = vector_to_array("reduced")
     cells = [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
     row = rows.agg(*(F.sum(x[i]).alias(f"m{i}") for i in range(d)), *cells).first()
@@ -81,10 +85,93 @@ def memberships(scored: DataFrame, options: TreeOptions, id_col: str = "node_id"
     return each.withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) | ((F.col("r") <= options.memberships) & (F.col("p") > options.soft_threshold))).select(id_col, "cluster")
 
 
+def _reduced(v: np.ndarray, components: int) -> np.ndarray:
+    """As reduce_vectors()."""
+    n, width = v.shape
+    if n <= 2 or width <= components:
+        return v
+    values, vectors = np.linalg.eigh(np.cov(v, rowvar=False))
+    return v @ vectors[:, np.argsort(-values)[: min(components, width, max(1, n - 1))]]
+
+
+def _fitted(x: np.ndarray, k: int, seed: int, rounds: int = 50, tolerance: float = 0.01) -> tuple[np.ndarray, float]:
+    """The probabilities of k Gaussians for each row, and the log-likelihood, by expectation-maximisation from the means of five rows each."""
+    n, d = x.shape
+    some = x[np.random.default_rng(seed).integers(0, n, (k, 5))]
+    means, least = some.mean(axis=1), 1e-5 * np.eye(d)
+    covs, weights = np.stack([np.diag(s.var(axis=0)) + least for s in some]), np.full(k, 1 / k)
+    before = -np.inf
+    for _ in range(rounds):
+        logs = np.empty((k, n))
+        for j in range(k):
+            root = np.linalg.cholesky(covs[j])
+            z = (x - means[j]) @ np.linalg.inv(root).T
+            logs[j] = math.log(max(weights[j], 1e-300)) - 0.5 * (np.einsum("ij,ij->i", z, z) + d * math.log(2 * math.pi)) - np.log(np.diag(root)).sum()
+        top = logs.max(axis=0)
+        p = np.exp(logs - top)
+        total = p.sum(axis=0)
+        p /= total
+        now = float((top + np.log(total)).sum())
+        if abs(now - before) <= tolerance:
+            break
+        before = now
+        for j in range(k):
+            mass = max(p[j].sum(), 1e-12)
+            means[j], weights[j] = p[j] @ x / mass, mass / n
+            y = x - means[j]
+            covs[j] = (p[j][:, None] * y).T @ y / mass + least
+    return p.T, now
+
+
+def _split(v: np.ndarray, options: TreeOptions) -> list[np.ndarray]:
+    """The rows of each cluster of the mixture of least BIC, empty ones left out: mixture() and memberships() of vectors in memory."""
+    x = _reduced(v, options.components)
+    n, d = x.shape
+    best = None
+    for k in range(1, max(1, min(options.max_k, n - 1)) + 1):
+        p, log_likelihood = _fitted(x, k, options.seed)
+        bic = -2 * log_likelihood + (k * d + k * d * (d + 1) / 2 + k - 1) * math.log(n)
+        if best is None or bic < best[0]:
+            best = (bic, p)
+    p = best[1]
+    order = np.argsort(-p, axis=1, kind="stable")[:, : max(1, options.memberships)]
+    taken = np.take_along_axis(p, order, axis=1) > options.soft_threshold
+    taken[:, 0] = True
+    found = (np.sort(np.nonzero(((order == j) & taken).any(axis=1))[0]) for j in range(p.shape[1]))
+    return [rows for rows in found if len(rows)]
+
+
+def split_in_memory(v: np.ndarray, tokens: np.ndarray, options: TreeOptions) -> list[np.ndarray]:
+    """The rows of each cluster within an oversize one, split as cluster_level() does until none is too large or can be split."""
+    done, left = [], [np.arange(len(v))]
+    while left:
+        rows = left.pop()
+        parts = _split(v[rows], options) if len(rows) > 3 else [np.arange(len(rows))]
+        for part in (rows[p] for p in parts):
+            large = tokens[part].sum() > options.max_cluster_tokens and len(part) >= 2 * options.min_cluster and len(parts) > 1
+            (left if large and len(part) < len(rows) else done).append(part)
+    return done
+
+
+def split_each(members: DataFrame, nodes: DataFrame, options: TreeOptions, id_col: str) -> DataFrame:
+    """(id, cluster, part): the clusters of members, each split by one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(id_col)
+        parts = split_in_memory(matrix(table["v"]), table["tokens"].to_numpy(), options)
+        at = pa.array(np.concatenate(parts))
+        return pa.table({id_col: table[id_col].combine_chunks().take(at), "cluster": table["cluster"].combine_chunks().take(at), "part": pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int32))})
+
+    kind = nodes.schema[id_col].dataType.simpleString()
+    rows = members.join(nodes.select(id_col, F.col("v").cast("array<double>").alias("v"), F.col("tokens").cast("long").alias("tokens")), id_col)
+    return rows.groupBy("cluster").applyInArrow(run, f"`{id_col}` {kind}, cluster int, part int")
+
+
 def cluster_level(nodes: DataFrame, options: TreeOptions, id_col: str = "node_id") -> DataFrame:
     """(id, cluster) for a level; clusters of too many tokens are clustered again while they are large enough to split.
 
-    nodes: id, v, tokens. The loop runs over cluster numbers (few), each step is a job on that cluster's rows.
+    nodes: id, v, tokens. The level, and each cluster of more than LOCAL_CELLS numbers, is split over all tasks, in jobs of
+    its own; the oversize clusters below that, whose number grows with the level, are split in one job, each by one task.
     """
     n = nodes.limit(4).count()
     if n <= 3:
@@ -92,17 +179,21 @@ def cluster_level(nodes: DataFrame, options: TreeOptions, id_col: str = "node_id
     scored, _, _ = mixture(reduce_vectors(nodes, options.components), options)
     found = cut(memberships(scored, options, id_col))
     sizes = found.join(nodes.select(id_col, "tokens"), id_col).groupBy("cluster").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
-    large = [r["cluster"] for r in sizes if r["t"] > options.max_cluster_tokens and r["n"] >= 2 * options.min_cluster and len(sizes) > 1]
+    large = {r["cluster"]: r["n"] for r in sizes if r["t"] > options.max_cluster_tokens and r["n"] >= 2 * options.min_cluster and len(sizes) > 1}
     if not large:
         return found
-    out = found.where(~F.col("cluster").isin(large))
+    out = found.where(~F.col("cluster").isin(list(large)))
     last = 1 + max(r["cluster"] for r in sizes)
-    for c in large:
-        inner = cluster_level(nodes.join(found.where(F.col("cluster") == c).select(id_col), id_col, "left_semi"), options, id_col)
-        numbers = sorted(r["cluster"] for r in inner.select("cluster").distinct().collect())
-        dense = F.array_position(F.array(*map(F.lit, numbers)), F.col("cluster")).cast("int") - 1
-        out = out.unionByName(inner.withColumn("cluster", F.lit(last) + dense))
-        last += len(numbers)
+    most = LOCAL_CELLS // max(1, nodes.select(F.size("v")).first()[0]) if "v" in nodes.columns else 0
+    for c in (c for c, n in large.items() if n > most):
+        inner = cut(cluster_level(nodes.join(found.where(F.col("cluster") == c).select(id_col), id_col, "left_semi"), options, id_col))
+        out = out.unionByName(inner.withColumn("cluster", F.lit(last) + F.col("cluster")))
+        last += 1 + inner.agg(F.max("cluster")).first()[0]
+    small = sorted(c for c, n in large.items() if n <= most)
+    if small:
+        parts = split_each(found.where(F.col("cluster").isin(small)), nodes, options, id_col)
+        place = F.array_position(F.array(*map(F.lit, small)), F.col("cluster")).cast("int") - 1
+        out = out.unionByName(cut(parts.select(id_col, (F.lit(last) + F.col("part") * len(small) + place).alias("cluster"))))
     return out
 
 

@@ -1,7 +1,8 @@
 """Queries and operators over all of their rows, against brute force on small fixtures."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -53,6 +54,22 @@ def test_nested_oversize_splits_stay_apart(spark, monkeypatch):
     assert sorted(map(sorted, found.values())) == [[f"{g:03b}{i}" for i in range(3)] for g in range(8)]
 
 
+def test_oversize_clusters_are_split_in_one_job(spark, monkeypatch):
+    """Six halves of far groups are oversize: the level is fitted over all tasks once, and no cluster by a fit of its own."""
+    fits, fit = [], tree.mixture
+    monkeypatch.setattr(tree, "mixture", lambda rows, options: fits.append(1) or fit(rows, options))
+    g = np.random.default_rng(3)
+    groups = [(a, b) for a in range(6) for b in range(6)]
+    v = np.concatenate([np.array([a * 100.0, (a * a % 7) * 50.0, b * 2.0, (b * b % 5) * 1.0]) + g.normal(0, 0.05, (20, 4)) for a, b in groups])
+    nodes = spark.createDataFrame([(f"n{i:04}", x.tolist(), 10) for i, x in enumerate(v)], "node_id string, v array<double>, tokens int")
+    found = tree.cluster_level(nodes, tree.TreeOptions(max_cluster_tokens=400)).collect()
+    assert sorted(r["node_id"] for r in found) == [f"n{i:04}" for i in range(len(v))]
+    sizes = Counter(r["cluster"] for r in found)
+    assert len(fits) == 1 and max(sizes.values()) <= 40 and len(sizes) <= 60
+    monkeypatch.setattr(tree, "LOCAL_CELLS", 0)  # larger ones go over all tasks
+    assert sorted(r["node_id"] for r in tree.cluster_level(nodes.limit(240), tree.TreeOptions(max_cluster_tokens=1000, max_k=2)).collect()) == sorted(r["node_id"] for r in nodes.limit(240).collect())
+
+
 def test_every_token_of_a_question_counts(spark, tmp_path):
     questions = [(0, "Is it  an\tox or an elephant"), (1, "go to it"), (2, "elephant elephant ox")]
     docs = [(0, "an ox, is it"), (1, "The ELEPHANT"), (2, "none"), (3, "GO"), (4, "or an elephant"), (5, None)]
