@@ -39,8 +39,8 @@ def bm25_topk(spark, sf_dir):
        "SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
 def bm25_batch_questions(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = R.bm25(table(spark, sf_dir, "documents"), tokens(F.col("text")), asked, "doc_id", tokens(F.col("text"))).withColumn("score", F.round("score", 6))
-    return R.ranked(scored, 10, ["query_id"], id_col="doc_id").withColumn("rank", F.col("rank").cast("long"))
+    best = R.bm25_top(table(spark, sf_dir, "documents"), tokens(F.col("text")), asked, 10, "doc_id", tokens(F.col("text")), digits=6)
+    return best.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 @query(f"WITH {BM25_SQL} SELECT token, sum(tf)::BIGINT AS tf, count(*)::BIGINT AS df, round(any_value(idf), 6) AS idf FROM posting JOIN idf USING (token) GROUP BY token")

@@ -1,11 +1,14 @@
 """Queries and operators over all of their rows, against brute force on small fixtures."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import tokens
+from gristmill.operators import retrieval as R
 from gristmill.operators import tree
 from gristmill.plans import catalog
 
@@ -93,3 +96,46 @@ def test_every_part_is_in_a_table_of_each_size(spark, tmp_path):
             assert sizes == [cut] * (n // cut) + [n % cut] * (n % cut > 0)
     verdicts = {r["table_no"]: r["aligned"] for r in got if (r["p_brand"], r["cut"]) == ("b", 9)}
     assert verdicts[0] and not verdicts[4]  # the last rows alone look like prose
+
+
+def test_batch_questions_by_blocks(spark, monkeypatch):
+    """The best of each question by blocks and slices of nodes are those of all pairs; a node without text counts in the statistics, and no pairs leave their block."""
+    words = "oak elm ash fir yew box bay fig".split()
+    g = np.random.default_rng(5)
+    docs = [(i, " ".join(g.choice(words[:7], 1 + i % 9))) for i in range(50)] + [(90, None), (91, "")]
+    asked = [(i, " ".join(g.choice(words, 2))) for i in range(9)] + [(20, "fig fig")]
+    dl = [len((t or "").split()) for _, t in docs]
+    expected = set()
+    for q, text in asked:
+        scores = []
+        for (i, t), n in zip(docs, dl):
+            s = 0.0
+            for w in set(text.split()) & set((t or "").split()):
+                df = sum(w in (x or "").split() for _, x in docs)
+                tf = t.split().count(w)
+                s += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.7 / (tf + 1.7 * (0.17 + 0.83 * n / (sum(dl) / len(docs))))
+            if s:
+                scores.append((-round(s, 6), i))
+        expected |= {(q, i, -s, r) for r, (s, i) in enumerate(sorted(scores)[:4], 1)}
+    nodes, questions = spark.createDataFrame(docs, "node_id long, text string").coalesce(1), spark.createDataFrame(asked, "query_id long, text string")
+    find = lambda: {tuple(r) for r in R.bm25_top(nodes, tokens(F.col("text")), questions, 4, question_terms=tokens(F.col("text")), digits=6).withColumn("score", F.round("score", 6)).select("query_id", "node_id", "score", "rank").collect()}
+    assert find() == expected
+    for name, value in (("NODE_SLICE", 7), ("SCORE_CELLS", 60), ("QUESTION_BLOCK", 4), ("NODE_BLOCK", 16), ("BROADCAST_TOKENS", 2)):
+        monkeypatch.setattr(R, name, value)
+        assert find() == expected
+
+
+def test_scores_in_memory_are_bounded(spark, monkeypatch):
+    """A block of nodes is scored in slices: a task never holds more scores than SCORE_CELLS."""
+    monkeypatch.setattr(R, "SCORE_CELLS", 400)
+    vectors = spark.createDataFrame([(i, [float(i % 17), float(i % 5)]) for i in range(300)], "node_id long, v array<double>").coalesce(1)
+    questions = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "query_id long, q array<double>")
+
+    def score(asked, table):
+        out = R.matrix(asked["q"]) @ R.matrix(table["v"]).T
+        if out.size > 400:
+            raise ValueError("too many scores")
+        return out, table["node_id"].combine_chunks()
+
+    got = {tuple(r) for r in R.by_blocks(vectors, questions, "node_id", score, 3).select("query_id", "node_id", "rank").collect()}
+    assert got == {(q, i, n) for q in range(20) for n, (_, i) in enumerate(sorted((-(i % 17 + q * (i % 5)), i) for i in range(300))[:3], 1)}
