@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,14 +77,36 @@ def rank_metrics(hits: DataFrame, relevant: DataFrame, k: int, id_col: str = "no
     return out.select("query_id", (n / F.lit(float(k))).alias("precision"), (n / F.col("total")).alias("recall"), F.coalesce(F.lit(1e0) / F.col("first"), F.lit(0e0)).alias("reciprocal_rank"))
 
 
+#: Texts that are summarised at once.
+SUMMARY_SLICE = 256
+
+
 def extractive_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 4, limit: int = 1500) -> DataFrame:
-    """(id, summary): the sentences of most frequent words (over two letters, counted in the document), in their order."""
+    """(id, summary): the sentences of most frequent words (over two letters, counted in the document), in their order.
+
+    A row of docs is a document, and nothing is shuffled. Without a sentence that has such a word it has no summary.
+    """
     parts = F.filter(F.split(F.regexp_replace(F.col(text_col), r"([.!?])\s+", "$1\u0001"), "\u0001|\n"), lambda s: F.trim(s) != "")
-    each = docs.select(id_col, F.posexplode(parts).alias("pos", "s"))
-    words = each.select(id_col, "pos", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("w"))
-    freq = words.groupBy(id_col, "w").agg(F.count("*").alias("f"))
-    score = words.join(freq, [id_col, "w"]).groupBy(id_col, "pos").agg(F.sum("f").alias("score"))
-    order = Window.partitionBy(id_col).orderBy(F.desc("score"), "pos")
-    top = each.join(score, [id_col, "pos"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sentences)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("s").alias("s")))), lambda x: x["s"]), " ")
-    return top.groupBy(id_col).agg(F.substring(text, 1, limit).alias("summary"))
+    each = docs.where(F.col(id_col).isNotNull()).select(id_col, parts.alias("s"))
+    words = each.select(id_col, "s", F.transform("s", lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("w"))
+
+    def best(part: pa.RecordBatch) -> pa.RecordBatch:
+        listed = pc.list_flatten(part["w"])
+        row = pc.list_parent_indices(part["w"]).to_numpy().astype(np.int64)
+        sentence, coded = pc.list_parent_indices(listed).to_numpy().astype(np.int64), pc.list_flatten(listed).dictionary_encode()
+        _, at, n = np.unique(row[sentence] * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        score = np.bincount(sentence, n[at], len(row))
+        order = np.lexsort((-score, row))  # stable: of equal scores the first sentence
+        order = order[score[order] > 0]
+        ordered = row[order]
+        chosen = np.sort(order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < sentences])
+        rows, sizes = np.unique(row[chosen], return_counts=True)
+        tops = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pc.list_flatten(part["s"]).take(pa.array(chosen)))
+        return pa.RecordBatch.from_arrays([part[id_col].take(pa.array(rows)), tops], [id_col, "top"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (best(batch.slice(i, SUMMARY_SLICE)) for i in range(0, batch.num_rows, SUMMARY_SLICE))
+
+    top = words.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, top array<string>")
+    return top.select(id_col, F.substring(F.array_join(F.transform("top", lambda s: F.trim(s)), " "), 1, limit).alias("summary"))

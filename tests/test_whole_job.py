@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import tokens
+from gristmill.operators import evaluation as E
 from gristmill.operators import retrieval as R
 from gristmill.operators import tree
 from gristmill.plans import catalog
@@ -139,3 +140,14 @@ def test_scores_in_memory_are_bounded(spark, monkeypatch):
 
     got = {tuple(r) for r in R.by_blocks(vectors, questions, "node_id", score, 3).select("query_id", "node_id", "rank").collect()}
     assert got == {(q, i, n) for q in range(20) for n, (_, i) in enumerate(sorted((-(i % 17 + q * (i % 5)), i) for i in range(300))[:3], 1)}
+
+
+def test_summaries_are_made_without_a_shuffle(spark, monkeypatch):
+    texts = [(1, "Oak elm. Oak oak ash! Of it. Elm?\nOak fir yew elm. Ash ash."), (2, None), (3, ""), (4, "Of it. No."), (5, "One two three. \n Two "), (None, "Oak elm.")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    expected = [(1, "Oak elm. Oak oak ash! Oak fir yew elm. Ash ash."), (5, "One two three. Two")]
+    for size in (256, 2):
+        monkeypatch.setattr(E, "SUMMARY_SLICE", size)
+        made = E.extractive_summary(docs)
+        assert sorted(tuple(r) for r in made.collect()) == expected
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
