@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,32 +86,44 @@ def clamp(box: tuple[Column, ...], page: tuple[Column, ...], margin: float = 4.0
     return F.struct(F.greatest(page[0], box[0] - margin).alias("x0"), F.greatest(page[1], box[1] - margin).alias("y0"), F.least(page[2], box[2] + margin).alias("x1"), F.least(page[3], box[3] + margin).alias("y1"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once however often body names it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def clean_rows(rows: Column) -> Column:
     """Cells trimmed, rows filled up to one width, blank rows and then blank columns left out."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    trimmed = F.transform(rows, lambda r: F.concat(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), F.array_repeat(F.lit(""), width - F.size(r))))
-    full = F.filter(trimmed, lambda r: F.exists(r, lambda c: c != ""))
-    columns = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(full, lambda r: F.get(r, i) != ""))
-    return F.when(F.coalesce(width, F.lit(0)) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(full, lambda r: F.transform(columns, lambda i: F.get(r, i))))
+    trimmed = lambda rows, width: F.transform(rows, lambda r: F.concat(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), F.array_repeat(F.lit(""), width - F.size(r))))
+    columns = lambda full, width: F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(full, lambda r: F.get(r, i) != ""))
+
+    def cleaned(rows: Column, width: Column) -> Column:
+        full = F.filter(trimmed(rows, width), lambda r: F.exists(r, lambda c: c != ""))
+        some = bound(full, lambda full: bound(columns(full, width), lambda at: F.transform(full, lambda r: F.transform(at, lambda i: F.get(r, i)))))
+        return F.when(F.coalesce(width, F.lit(0)) == 0, F.array().cast("array<array<string>>")).otherwise(some)
+
+    return bound(rows, lambda rows: bound(F.array_max(F.transform(rows, lambda r: F.size(r))), lambda width: cleaned(rows, width)))
 
 
 def looks_like_table(rows: Column, strategy: Column | None = None, width_share: Column | None = None) -> Column:
     """Accepts cleaned rows as a table; tables found by text alignment (strategy `text`) must also not look like cut-up prose."""
     strategy = F.lit("lines") if strategy is None else strategy
     width_share = F.lit(1e0) if width_share is None else width_share
-    n, cols = F.size(rows), F.size(rows[0])
-    cells = F.flatten(rows)
-    filled = F.filter(cells, lambda c: F.trim(c) != "")
-    chars = F.aggregate(filled, F.lit(0), lambda a, c: a + F.char_length(c))
     share = lambda some, of: F.when(F.size(of) == 0, 0e0).otherwise(F.size(some) / F.size(of))
-    base = (n >= 2) & (cols >= 2) & (share(filled, cells) >= 0.2) & (chars >= 12) & (F.size(filled) >= 4)
-    short = share(F.filter(filled, lambda c: c.rlike(r"(?U)^\p{L}{1,3}$")), filled)
     in_row = lambda r: F.filter(r, lambda c: F.trim(c) != "")
-    fragments = F.filter(rows, lambda r: F.size(F.filter(r, lambda c: c.rlike(r"(?U)^\p{L}{1,3}$"))) >= 2)
-    fragmented = F.size(fragments) / n
-    lower = share(F.filter(filled, lambda c: c.rlike(r"(?U)^\p{Ll}")), filled)
-    whole = F.array_join(filled, " ")
-    dots = F.regexp_count(whole, F.lit(r"\.")) / F.greatest(F.char_length(whole), F.lit(1))
-    multi = F.size(F.filter(rows, lambda r: F.size(in_row(r)) >= 2))
-    bad = ((cols >= 3) & (short >= 0.5) & (fragmented >= 0.35)) | (lower >= 0.22) | ((cols >= 3) & (width_share < 0.35)) | (F.regexp_count(whole, F.lit(r"\.\.\.")) >= 3) | (dots >= 0.08) | (multi < 3) | ((short >= 0.4) & (fragmented >= 0.25))
-    return F.coalesce(base & ((strategy != "text") | ~bad), F.lit(False))
+
+    def prose(rows: Column, filled: Column, short: Column, fragmented: Column, whole: Column) -> Column:
+        cols = F.size(rows[0])
+        lower = share(F.filter(filled, lambda c: c.rlike(r"(?U)^\p{Ll}")), filled)
+        dots = F.regexp_count(whole, F.lit(r"\.")) / F.greatest(F.char_length(whole), F.lit(1))
+        multi = F.size(F.filter(rows, lambda r: F.size(in_row(r)) >= 2))
+        return ((cols >= 3) & (short >= 0.5) & (fragmented >= 0.35)) | (lower >= 0.22) | ((cols >= 3) & (width_share < 0.35)) | (F.regexp_count(whole, F.lit(r"\.\.\.")) >= 3) | (dots >= 0.08) | (multi < 3) | ((short >= 0.4) & (fragmented >= 0.25))
+
+    def accepted(rows: Column, filled: Column) -> Column:
+        chars = F.aggregate(filled, F.lit(0), lambda a, c: a + F.char_length(c))
+        base = (F.size(rows) >= 2) & (F.size(rows[0]) >= 2) & (share(filled, F.flatten(rows)) >= 0.2) & (chars >= 12) & (F.size(filled) >= 4)
+        short = share(F.filter(filled, lambda c: c.rlike(r"(?U)^\p{L}{1,3}$")), filled)
+        fragments = F.filter(rows, lambda r: F.size(F.filter(r, lambda c: c.rlike(r"(?U)^\p{L}{1,3}$"))) >= 2)
+        bad = bound(short, lambda s: bound(F.size(fragments) / F.size(rows), lambda f: bound(F.array_join(filled, " "), lambda w: prose(rows, filled, s, f, w))))
+        return base & ((strategy != "text") | ~bad)
+
+    return F.coalesce(bound(rows, lambda r: bound(F.filter(F.flatten(r), lambda c: F.trim(c) != ""), lambda f: accepted(r, f))), F.lit(False))

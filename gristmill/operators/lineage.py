@@ -94,6 +94,18 @@ def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     return placed.withColumn(name, own + F.element_at(F.create_map(*offsets), F.col("__part"))).drop("__part")
 
 
+def numbered_within(df: DataFrame, by: str, order: str, name: str = "n") -> DataFrame:
+    """df with row numbers from 1 within each value of `by` (nulls are one), in an order. A value of many rows is numbered by many tasks: ranges of (by, order) apart, moved up by the sizes of the value's ranges before. df is a scan, with a range for PART_BYTES of it (2,000 at most)."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(2000, scan_bytes(df) // PART_BYTES + 1))
+    placed = cut(df.repartitionByRange(parts, by, order).withColumn("__part", F.spark_partition_id()))
+    sizes = placed.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__at")).agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy("__by").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    own = placed.withColumn("__own", F.row_number().over(Window.partitionBy("__part", by).orderBy(order)))
+    both = own.join(sizes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__at")))
+    return both.select(*df.columns, (F.col("__own") + F.col("__before")).cast("long").alias(name))
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder's path in the shared folder of cut(), for tables that a job writes and reads again; it goes when the driver's Python ends."""
     shared_folder(spark)

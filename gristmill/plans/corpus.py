@@ -9,7 +9,7 @@ from gristmill.functions import layout as L
 from gristmill.functions import text as T
 from gristmill.operators import chunking as C
 from gristmill.operators import evaluation as E
-from gristmill.operators.lineage import scratch_path
+from gristmill.operators.lineage import numbered_within, scratch_path
 from gristmill.plans.base import query, table, terms_sql
 
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -158,12 +158,11 @@ SELECT p_brand, p::BIGINT AS cut, table_no::BIGINT AS table_no, len(rows)::BIGIN
   lined AND NOT ((short >= 0.5 AND frag >= 0.35) OR low >= 0.22 OR len(regexp_extract_all(whole, '\.\.\.')) >= 3 OR len(regexp_extract_all(whole, '\.')) / length(whole)::DOUBLE >= 0.08 OR len(rows) < 3 OR (short >= 0.4 AND frag >= 0.25)) AS aligned FROM l""")
 def looks_like_table(spark, sf_dir):
     """Verdicts on tables: all parts of a brand, cut into consecutive tables of one, five and nine rows."""
-    at = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")
-    parts = table(spark, sf_dir, "part").withColumn("at", at).withColumn("cut", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 5, 9)))))
+    parts = numbered_within(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), "p_brand", "p_partkey", "at").withColumn("at", F.col("at") - 1).withColumn("cut", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 5, 9)))))
     row = F.struct("at", F.array(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")).alias("cells"))
     tables = parts.groupBy("p_brand", "cut", F.expr("at div cut").alias("table_no")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"]).alias("cells"))
-    rows = L.clean_rows(F.col("cells"))
-    return tables.select("p_brand", "cut", "table_no", F.size("cells").cast("long").alias("n_rows"), L.looks_like_table(rows).alias("lined"), L.looks_like_table(rows, F.lit("text")).alias("aligned"))
+    rows = F.col("rows")
+    return tables.withColumn("rows", L.clean_rows(F.col("cells"))).select("p_brand", "cut", "table_no", F.size("cells").cast("long").alias("n_rows"), L.looks_like_table(rows).alias("lined"), L.looks_like_table(rows, F.lit("text")).alias("aligned"))
 
 
 def _turns(spark, sf_dir):

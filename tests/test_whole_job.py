@@ -11,6 +11,7 @@ from gristmill.functions.text import tokens
 from gristmill.operators import evaluation as E
 from gristmill.operators import retrieval as R
 from gristmill.operators import tree
+from gristmill.operators.lineage import numbered_within
 from gristmill.plans import catalog
 
 
@@ -151,3 +152,15 @@ def test_summaries_are_made_without_a_shuffle(spark, monkeypatch):
         made = E.extractive_summary(docs)
         assert sorted(tuple(r) for r in made.collect()) == expected
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_large_value_are_numbered_by_many_tasks(spark, tmp_path):
+    rows = [("hot" if i % 10 else None if i % 20 else "cold", (i * 37) % 1000) for i in range(1000)]
+    spark.createDataFrame(rows, "b string, k long").write.parquet(f"{tmp_path}/rows")
+    made = numbered_within(spark.read.parquet(f"{tmp_path}/rows"), "b", "k", "at")
+    got = {tuple(r) for r in made.collect()}
+    groups = defaultdict(list)
+    for b, k in rows:
+        groups[b].append(k)
+    assert got == {(b, k, n) for b, ks in groups.items() for n, k in enumerate(sorted(ks), 1)}
+    assert "specifiedwindowframe" in made._jdf.queryExecution().executedPlan().toString() and "windowspecdefinition(b#" not in made._jdf.queryExecution().executedPlan().toString()
