@@ -21,7 +21,7 @@ from gristmill.operators import providers as P
 from gristmill.operators import retrieval as R
 from gristmill.operators import search as S
 from gristmill.operators import tree as TR
-from gristmill.operators.lineage import scratch_path
+from gristmill.operators.lineage import numbered_within, scratch_path
 from gristmill.plans.base import query, table
 from gristmill.plans.corpus import _HEAD
 from gristmill.plans.search import _DENSE, _channels
@@ -133,10 +133,8 @@ def clipped_regions(spark, sf_dir):
 SELECT p_brand, table_no::BIGINT AS table_no, 'lines' AS strategy, rows::BIGINT AS n_rows FROM c WHERE rows >= 2 AND length(whole) >= 12""")
 def table_scan(spark, sf_dir):
     """Tables that two strategies found alike, accepted and kept once, by the order of the strategies."""
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    rows = table(spark, sf_dir, "part").withColumn("at", at).groupBy("p_brand", F.floor(F.col("at") / 5).alias("table_no")).agg(F.array_sort(F.collect_list(F.struct("at", F.array("p_name", "p_type", F.col("p_size").cast("string")).alias("c")))).alias("r"))
+    parts = numbered_within(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), "p_brand", "p_partkey", "at").withColumn("at", F.col("at") - 1)
+    rows = parts.groupBy("p_brand", F.floor(F.col("at") / 5).alias("table_no")).agg(F.array_sort(F.collect_list(F.struct("at", F.array("p_name", "p_type", F.col("p_size").cast("string")).alias("c")))).alias("r"))
     found = rows.select("p_brand", F.col("table_no").alias("table_index"), F.transform("r", lambda x: x["c"]).alias("rows"), F.lit(1e0).alias("width_share"), F.explode(F.array(F.struct(F.lit("text").alias("strategy"), F.lit(1).alias("strategy_order")), F.struct(F.lit("lines").alias("strategy"), F.lit(0).alias("strategy_order")))).alias("s")).select("*", "s.*")
     return D.distinct_tables(found, ["p_brand"]).select("p_brand", F.col("table_index").cast("long").alias("table_no"), "strategy", F.size("rows").cast("long").alias("n_rows"))
 
